@@ -7,7 +7,7 @@ Two documents agree in a sample with the probability of their generalised Jaccar
 sum of least weights over sum of greatest weights.
 
 Everything is DataFrame code inside whole-stage code generation: the least a of each sample is one long
-(ln a as fixed point above, 32 hash bits of word and t below), so that a bag is folded by plain min() in
+(ln a as fixed point above, 16 hash bits of word and t below), so that a bag is folded by plain min() in
 one hash aggregation. A fingerprint is 16 bits of each sample in hex.
 
 Defined results: null is the empty text; texts without words have one common fingerprint, of likeness 1 to
@@ -23,35 +23,34 @@ from pyspark.sql import Window
 
 from .common import partitions, table, words
 
-SAMPLES = 32
+SAMPLES = 16
 EMPTY = "-"
 #: Ranges of doc_id that are sorted on their own; the heads of all ranges, at most so many rows, are broadcast.
 MOST_CELLS = 65536
 
 
-def _sample(term: Column, weight: Column, k: int) -> Column:
-    """The sample's candidate of one term as a long: ordered by a, ended by 32 bits of (term, t)."""
-    one = 1.0 / 2**32
-    h1, h2, h3 = (F.xxhash64(term, F.lit(3 * k + i)) for i in range(3))
-    high = lambda h: (F.shiftrightunsigned(h, 32).cast("double") + 0.5) * one
-    low = lambda h: (h.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) * one
-    r = -F.log(high(h1) * low(h1))
-    c = -F.log(high(h2) * low(h2))
-    b = high(h3)
-    t = F.floor(F.log(weight) / r + b)
+def _sample(term: Column, ln_weight: Column, k: int) -> Column:
+    """The sample's candidate of one term as a long: ordered by a, ended by bits of (term, t). Null if the
+    weight is. Without conditions around it, so that what it repeats is computed once."""
+    h1, h2 = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+    part = lambda h, at, n: (F.shiftrightunsigned(h, at).bitwiseAND(F.lit(2**n - 1)).cast("double") + 0.5) * (1.0 / 2**n)
+    r = -F.log(part(h1, 0, 24) * part(h1, 24, 24))
+    c = -F.log(part(h2, 0, 32) * part(h2, 32, 32))
+    b = part(h1, 48, 16)
+    t = F.floor(ln_weight / r + b)
     ln_a = F.log(c) - r * (t - b + 1)
-    fixed = F.greatest(F.lit(0), F.least(F.lit(2**31 - 1), ((ln_a + 256) * F.lit(float(2**22))).cast("bigint")))
-    mark = F.xxhash64(term, t, F.lit(k)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.shiftleft(fixed, 32).bitwiseOR(mark)
+    fixed = F.shiftleft(((ln_a + 4096) * F.lit(float(2**32))).cast("bigint"), 16)
+    return fixed.bitwiseOR(F.shiftrightunsigned(h2, 16).bitwiseXOR(t).bitwiseAND(F.lit(0xFFFF)))
 
 
-def signatures(terms: DataFrame, by: list[str], samples: int = SAMPLES) -> DataFrame:
-    """terms(*by, term bigint or null, weight): one fingerprint per by. A null term only marks that the
-    bag exists. No shuffle if terms is partitioned by some of `by`."""
-    mins = [F.min(F.when(F.col("term").isNotNull(), _sample(F.col("term"), F.col("weight"), k))).alias(f"m{k}") for k in range(samples)]
+def signatures(terms: DataFrame, by: list[str], samples: int = SAMPLES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """terms(*by, term bigint, ln_weight): one fingerprint per by. A null ln_weight only marks that the bag
+    exists. carry: numbers that depend on by. No shuffle if terms is partitioned by some of `by`."""
+    mins = [F.min(_sample(F.col("term"), F.col("ln_weight"), k)).alias(f"m{k}") for k in range(samples)]
     hexed = [F.lpad(F.lower(F.hex(F.col(f"m{k}").bitwiseAND(F.lit(0xFFFF)))), 4, "0") for k in range(samples)]
     fp = F.when(F.col("m0").isNull(), F.lit(EMPTY)).otherwise(F.concat(*hexed))
-    return terms.groupBy(*by).agg(*mins).select(*by, fp.alias("fingerprint"))
+    firsts = [F.first(c).alias(c) for c in carry]
+    return terms.groupBy(*by).agg(*mins, *firsts).select(*by, *carry, fp.alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -61,11 +60,14 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return F.when((a == EMPTY) | (b == EMPTY), (a == b).cast("double")).otherwise(same)
 
 
-def bag(df: DataFrame, by: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
+def bag(df: DataFrame, by: list[str], text: str, samples: int = SAMPLES, carry: tuple[str, ...] = ()) -> DataFrame:
     """Fingerprints of a text column, one row per by."""
-    terms = df.select(*by, F.explode_outer(words(F.col(text))).alias("word")).select(*by, F.xxhash64("word").alias("h"), F.col("word").isNull().alias("none"))
-    counted = terms.withColumn("term", F.when(~F.col("none"), F.col("h"))).groupBy(*by, "term").agg(F.count("*").cast("double").alias("weight"))
-    return signatures(counted, by, samples)
+    terms = df.select(*by, *carry, F.explode_outer(words(F.col(text))).alias("word")).select(
+        *by, *carry, F.xxhash64("word").alias("term"), F.when(F.col("word").isNotNull(), 1).alias("one")
+    )
+    firsts = [F.first(c).alias(c) for c in carry]
+    counted = terms.groupBy(*by, "term").agg(F.log(F.sum("one").cast("double")).alias("ln_weight"), *firsts)
+    return signatures(counted, by, samples, carry)
 
 
 def neighbours(docs: DataFrame, per_cell: int = 512) -> DataFrame:
@@ -116,22 +118,29 @@ def op4_weighted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and the likeness of each document's
     fingerprint to the edited text's and to the next document's."""
     both = edited(table(spark, sf_dir, "documents", "doc_id", "text"))
-    by = ["cell", "place", "pad", "doc_id", "n_chars", "sha", "variant"]
-    texts = both.select(
-        "cell", "place", "pad", "doc_id", "n_chars", F.unhex(F.sha2(F.encode("edited", "UTF-8"), 256)).alias("sha"),
-        F.explode(F.filter(F.array(F.struct(F.lit(0).alias("variant"), F.col("text").alias("t")), F.struct(F.lit(1).alias("variant"), F.col("edited").alias("t"))), lambda x: x["t"].isNotNull())).alias("v"),
-    ).select("cell", "place", "pad", "doc_id", "n_chars", "sha", F.col("v.variant").alias("variant"), F.col("v.t").alias("t"))
-    prints = bag(texts, by, "t")
-    row = prints.groupBy(*by[:-1]).agg(
+    # the digest travels as five numbers, which a hash aggregation can hold
+    sha = [F.conv(F.substring("sha", 1 + 15 * i, 15), 16, 10).cast("bigint").alias(f"sha{i}") for i in range(5)]
+    info = ("pad", "doc_id", "n_chars", *(f"sha{i}" for i in range(5)))
+    own = F.struct(F.lit(0).alias("variant"), F.col("text").alias("t"))
+    changed = F.struct(F.lit(1).alias("variant"), F.col("edited").alias("t"))
+    texts = (
+        both.withColumn("sha", F.sha2(F.encode("edited", "UTF-8"), 256))
+        .select("cell", "place", F.col("pad").cast("int").alias("pad"), "doc_id", "n_chars", *sha, F.explode(F.when(F.col("pad"), F.array(own)).otherwise(F.array(own, changed))).alias("v"))
+        .select("cell", "place", *info, F.col("v.variant").alias("variant"), F.col("v.t").alias("t"))
+    )
+    prints = bag(texts, ["cell", "place", "variant"], "t", carry=info)
+    row = prints.groupBy("cell", "place").agg(
         F.max(F.when(F.col("variant") == 0, F.col("fingerprint"))).alias("fingerprint"),
         F.max(F.when(F.col("variant") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
+        *[F.max(c).alias(c) for c in info],
     )
+    hexed = F.concat(*[F.lpad(F.lower(F.hex(f"sha{i}")), 15 if i < 4 else 4, "0") for i in range(5)])
     following = F.lead("fingerprint").over(Window.partitionBy("cell").orderBy("place"))
     return (
         row.withColumn("next_fingerprint", following)
-        .filter(~F.col("pad"))
+        .filter("pad = 0")
         .select(
-            "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+            "doc_id", "n_chars", hexed.alias("edited_sha256"), "fingerprint", "edited_fingerprint",
             likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
             likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
         )
