@@ -172,10 +172,9 @@ class WordBpe:
         """Tokens joined by blanks; ids that the vocabulary lacks are left out."""
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Number of ids, SHA-256 of the ids and of the decoded text, for each text. Texts are taken in
-        groups of some millions of characters, so that the words at hand stay bounded."""
-        out = []
+    def entries(self, texts: list[str]) -> Iterator[list[tuple[int, str, str]]]:
+        """For each text, what the table has of its pieces. Texts are taken in groups of some millions of
+        characters, so that the words at hand stay bounded."""
         at = 0
         while at < len(texts):
             to, chars = at, 0
@@ -185,27 +184,49 @@ class WordBpe:
             group = [self.pieces(t) for t in texts[at:to]]
             self.learn(group)
             for pieces in group:
-                got = [e for w in pieces if (e := self.known[w])[0]]
-                ids, decoded = " ".join([e[1] for e in got]), " ".join([e[2] for e in got])
-                out.append((sum(e[0] for e in got), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
+                yield [e for w in pieces if (e := self.known[w])[0]]
             at = to
+
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Number of ids, SHA-256 of the ids and of the decoded text, for each text."""
+        out = []
+        for got in self.entries(texts):
+            ids, decoded = " ".join([e[1] for e in got]), " ".join([e[2] for e in got])
+            digest = [hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest() for s in (ids, decoded)]
+            out.append((sum(e[0] for e in got), *digest))
         return out
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """docs with token_ids and decoded, for every whole text."""
-    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+    """docs with token_ids, for every whole text."""
+    from pyspark.sql.types import ArrayType, IntegerType, StructType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = WordBpe(path)
+        for b in batches:
+            flat, ends = [], [0]
+            for got in bpe.entries([t.as_py() or "" for t in b["text"]]):
+                flat.append(np.array(" ".join([e[1] for e in got]).split(), np.int32))
+                ends.append(ends[-1] + len(flat[-1]))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, "token_ids"])
+
+    docs = docs.drop("token_ids")
+    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("token_ids", ArrayType(IntegerType())))
+
+
+def decode(rows: DataFrame, path: str) -> DataFrame:
+    """rows(token_ids, ...) with decoded."""
+    from pyspark.sql.types import StringType, StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe(path)
         for b in batches:
-            ids = [bpe.encode(t.as_py() or "") for t in b["text"]]
-            new = [pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.string())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "token_ids", "decoded"])
+            text = pa.array([bpe.decode(i.as_py() or []) for i in b["token_ids"]], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, text], [*b.schema.names, "decoded"])
 
-    docs = docs.drop("token_ids", "decoded")
-    schema = StructType(list(docs.schema.fields)).add("token_ids", ArrayType(IntegerType())).add("decoded", StringType())
-    return docs.mapInArrow(run, schema)
+    rows = rows.drop("decoded")
+    return rows.mapInArrow(run, StructType(list(rows.schema.fields)).add("decoded", StringType()))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

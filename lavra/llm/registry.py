@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, quality, sharding, toxicity
+from . import bpe, fingerprints, knn, minhash, mixing, quality, sharding, substrings, token_files, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
+        knn.op1_voronoi_knn,
+        token_files.op2_hash_indexed_ids,
         sharding.op3_virtual_slots,
         fingerprints.op4_weighted_samples,
         quality.op5_weak_quality,
+        minhash.op6_bagminhash,
         toxicity.op7_lexicon_toxicity,
+        substrings.op8_prefix_subtrees,
+        bpe.op9_numpy_bpe,
         mixing.op10_weighted_mix,
     )
 }
-SQL = {**mixing.SQL}
+SQL = {**knn.SQL, **mixing.SQL, **substrings.SQL}
