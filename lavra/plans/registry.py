@@ -1,10 +1,370 @@
-"""The library's registered queries and their SQL."""
+"""The library's registered queries and their SQL.
+
+Queries named after a rule run on the synthetic archive: the archive's text is sliced, segmented and
+classified, while the SQL side starts from the orders. Small inputs of single rules stand here as rows and
+appear in the SQL as VALUES."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lavra.functions import text as T
+from lavra.operators import classify as C
+from lavra.operators import layout as L
+from lavra.operators import linking as K
+from lavra.operators import masking as M
+from lavra.operators import search as S
+from lavra.operators import segment as G
+from lavra.sources import archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def register(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        SQL[name] = sql
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.acts(archive.documents(spark, sf_dir))
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.classified(acts(spark, sf_dir))
+
+
+def on_acts(name: str, columns: dict[str, Column], sql_columns: str) -> None:
+    """A column or more for each act."""
+    register(name, lambda s, d: classified(s, d).select("act_id", *[c.alias(k) for k, c in columns.items()]), f"{archive.ACTS_SQL} SELECT act_id, {sql_columns} FROM a")
+
+
+def on_rows(name: str, schema: str, rows: list[tuple], make: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    """A query over rows that stand here; {v} in the SQL is the same rows as a table v."""
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def lit(x: object) -> str:
+        if x is None:
+            return "NULL"
+        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"[{', '.join(map(lit, x))}]" if isinstance(x, list) else str(x)
+
+    values = ", ".join("(" + ", ".join(lit(x) for x in r) + ")" for r in rows)
+    table = f"WITH v({', '.join(names)}) AS (VALUES {values}) "
+    register(name, lambda s, d: make(s.createDataFrame(rows, schema)), table.rstrip() + (sql if sql.startswith(",") else " " + sql))
+
+
+U = T.UNKNOWN
+_known = lambda sql: f"CASE WHEN coalesce({sql}, '') = '' THEN '{U}' ELSE {sql} END"
+_x = lambda p, g=0, col="blob": f"regexp_extract({col}, '(?i){p}', {g})"
+_m = lambda p, col="blob": f"regexp_matches({col}, '(?i){p}')"
+_label = lambda label: f"substr(trim({_x(rf'(?:^|\n)\s*{label}\s*:\s*([^\n]+)', 1)}), 1, 180)"
+_norm = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+# ---- scans, slices, lines
+register("scan_documents", lambda s, d: documents(s, d).select("doc_id", F.char_length("text").alias("chars")), "SELECT doc_id, length(text) AS chars FROM documents")
+register(
+    "page_slices",
+    lambda s, d: G.page_slices(archive.documents(s, d)).select("doc_id", "slice_ord", "page", F.md5(F.col("text").cast("binary")).alias("digest")),
+    f"{archive.ACTS_SQL} SELECT doc_id, ord - 1 AS slice_ord, page, md5(text) AS digest FROM a",
+)
+register("segment_acts", lambda s, d: acts(s, d).select("doc_id", "act_id", "title", "text"), f"{archive.ACTS_SQL} SELECT doc_id, act_id, title, text FROM a")
+register("segment_pages", lambda s, d: acts(s, d).select("act_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages")), f"{archive.ACTS_SQL} SELECT act_id, page::VARCHAR AS pages FROM a")
+register("acts_flat", lambda s, d: acts(s, d).select("doc_id", "ord", "act_id", F.length("text").alias("chars")), f"{archive.ACTS_SQL} SELECT doc_id, ord, act_id, length(text)::INT AS chars FROM a")
+register(
+    "paragraphs",
+    lambda s, d: acts(s, d).select("act_id", F.posexplode(M.paragraphs(F.col("text"))).alias("at", "p")).select("act_id", "at", F.length("p").alias("chars")),
+    rf"{archive.ACTS_SQL}, p AS (SELECT act_id, regexp_split_to_array(text, '\n{{2,}}') AS ps FROM a) SELECT act_id, (i - 1)::INT AS at, length(ps[i])::INT AS chars FROM (SELECT act_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM p)",
+)
+_LINES = f"{archive.ACTS_SQL}, l AS (SELECT doc_id, ord - 1 AS slice_ord, unnest(string_split(text, chr(10))) AS line FROM a)"
+
+
+def on_lines(name: str, flag: Callable[[Column], Column], sql_flag: str) -> None:
+    register(
+        name,
+        lambda s, d: G.lines(archive.documents(s, d)).filter(flag(F.col("line"))).groupBy("doc_id", "line").agg(F.count("*").alias("n")),
+        f"{_LINES} SELECT doc_id, line, count(*) AS n FROM l WHERE {sql_flag} GROUP BY ALL",
+    )
+
+
+_start = f"length(trim(line)) BETWEEN 1 AND 80 AND len(regexp_split_to_array(trim(line), '\\s+')) <= 4 AND NOT {_m(G.SECTION, 'strip_accents(trim(line))')} AND {_m(G.START, 'trim(line)')}"
+on_lines("doc_start_lines", G.is_start, _start)
+on_lines("process_header_lines", G.is_process, f"NOT {_m(G.CITATION, 'line')} AND {_m(G.PROCESS, 'line')} AND regexp_matches(line, '{T.CNJ}')")
+on_lines("citation_lines", lambda c: T.has(c, G.CITATION), _m(G.CITATION, "line"))
+register(
+    "list_filter",
+    lambda s, d: classified(s, d).filter(F.lower(F.col("blob")).contains("campanha") & (F.col("classe") == "prestação de contas eleitorais")).select("act_id"),
+    f"{archive.ACTS_SQL} SELECT act_id FROM a WHERE contains(lower(blob), 'campanha') AND {C.case_sql('blob', C.CLASSE)} = 'prestação de contas eleitorais' AND {_label('Classe')} = ''",
+)
+
+# ---- classification
+_classe = f"CASE WHEN {_label('Classe')} <> '' THEN {_label('Classe')} ELSE {C.case_sql('blob', C.CLASSE)} END"
+_tipo = f"trim(CASE WHEN {_x(C.TIPO_TITLE, 0, 'trim(title)')} <> '' THEN {_x(C.TIPO_TITLE, 0, 'trim(title)')} ELSE {_x(C.TIPO_LINE, 1)} END)"
+_fase = C.case_sql("blob", C.FASE)
+_subject = "coalesce(" + ", ".join(f"nullif({_x(p)}, '')" for p in C.ASSUNTO) + ", '')"
+_final = f"CASE WHEN {_m(C.FINAL[0][0])} THEN '{C.FINAL[0][1]}' WHEN {_m(C.FINAL[1][0])} THEN '{C.FINAL[1][1]}' WHEN {_m('publica-se|extrato', 'title')} THEN 'publicar extrato' ELSE '' END"
+_rito = f"CASE WHEN {_x(C.RITO, 1)} <> '' THEN {_x(C.RITO, 1)} ELSE {_label('Rito')} END"
+_origin = f"CASE WHEN {_x(C.ORIGIN, 1)} <> '' THEN 'originado de ' || trim({_x(C.ORIGIN, 1)}) ELSE '' END"
+_norms = f"list_transform(regexp_extract_all(blob, '(?i){C.NORMS}'), lambda x: {_norm('x')})"
+_distinct = lambda xs: f"list_filter({xs}, lambda x, i: list_position({xs}, x) = i)"
+_fields = {
+    "area": C.case_sql("blob", C.AREA), "classe": _classe, "subtipo": _origin, "assunto": _subject, "rito": _rito, "fase": _fase, "tipo": _tipo, "finalidade": _final,
+    "resultado": C.case_sql("blob", C.RESULTADO), "orgao": f"trim({_x(C.ORGAO)})", "grau": C.case_sql("blob", C.GRAU), "regime": f"array_to_string(({_distinct(_norms)})[:8], '; ')",
+}
+for _k, _v in _fields.items():
+    on_acts(f"classify_{_k}", {_k: F.col(_k)}, f"{_known(_v)} AS {_k}")
+on_acts("classify_dates", {"exercicio": F.col("exercicio"), "eleicao": F.col("eleicao")}, f"{_known(_x(C.EXERCICIO, 1))} AS exercicio, {_known(_x(C.ELEICAO, 1))} AS eleicao")
+_missing = " OR ".join(f"coalesce({v}, '') = ''" for v in (_classe, _tipo, _fase))
+on_acts("classify_revisao", {"revisao": F.col("revisao")}, f"CASE WHEN {_missing} THEN 'pendente' ELSE 'aguardando confirmação humana' END AS revisao")
+_head = "(title || chr(10) || substr(text, 1, 500))"
+_nature = (
+    f"CASE WHEN {_m(C.NATURE_MODEL, 'title')} OR {_m(C.NATURE_MODEL, 'substr(text, 1, 200)')} THEN 'modelo' WHEN {_m(C.NATURE_SUPPORT, _head)} THEN 'apoio' "
+    f"WHEN {_m(C.NATURE_EXTRACT[0], 'title')} OR {_m(C.NATURE_EXTRACT[1], _head)} THEN 'extrato' "
+    f"WHEN length(regexp_replace(text, '\\s', '', 'g')) < 40 OR {_m(C.NATURE_INCOMPLETE, 'text')} THEN 'incompleto' ELSE 'ato' END"
+)
+on_acts("infer_nature", {"nature": F.col("nature")}, f"{_nature} AS nature")
+on_acts("infer_voice", {"voice": F.col("voice")}, f"{C.case_sql('(title || chr(10) || substr(text, 1, 240))', C.VOICE, 'não identificada')} AS voice")
+on_acts("field_lookup", {"classe": F.col("classe"), "rito": F.col("rito")}, f"{_known(_classe)} AS classe, {_known(_rito)} AS rito")
+on_acts("own_cnjs", {"cnj": F.array_join("cnj", " ")}, "own_cnj AS cnj")
+on_acts("document_id", {"document_id": F.col("document_id")}, f"{_known(_x(C.DOCUMENT_ID, 1, 'text'))} AS document_id")
+_printed = f"regexp_extract_all(text, '(?i){C.PRINTED}', 1)"
+on_acts("printed_pages", {"printed": F.array_join("printed_pages", " ")}, f"array_to_string({_distinct(_printed)}, ' ') AS printed")
+register(
+    "evidence_quote",
+    lambda s, d: C.evidence(classified(s, d)).filter(F.col("fase") != U).select("act_id", F.length("fase_evidence").alias("chars"), F.col("fase_evidence").alias("quote")),
+    None,
+)
+on_acts("labels_short", {"short": S.short_class(F.col("classe")), "label": S.pages_label(F.col("pages"))},
+        f"CASE WHEN contains({_known(_classe)}, 'anual') THEN 'Contas anuais' WHEN contains({_known(_classe)}, 'eleitorais') THEN 'Contas eleitorais' WHEN {_classe} = 'representação' THEN 'Representações' WHEN coalesce({_classe}, '') = '' THEN 'A classificar' ELSE {_classe} END AS short, 'Página ' || page AS label")
+register(
+    "class_phase_counts",
+    lambda s, d: classified(s, d).groupBy("classe", "fase").agg(F.count("*").alias("n")),
+    f"{archive.ACTS_SQL} SELECT {_known(_classe)} AS classe, {_known(_fase)} AS fase, count(*) AS n FROM a GROUP BY 1, 2",
+)
+register(
+    "acts_by_class",
+    lambda s, d: classified(s, d).groupBy("classe").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "ord"))["doc_id"].alias("first_doc")),
+    f"{archive.ACTS_SQL} SELECT {_known(_classe)} AS classe, count(*) AS n, min(doc_id) AS first_doc FROM a GROUP BY 1",
+)
+register("distinct_classes", lambda s, d: classified(s, d).select("classe", "rito").distinct(), f"{archive.ACTS_SQL} SELECT DISTINCT {_known(_classe)} AS classe, {_known(_rito)} AS rito FROM a")
+register("pending_count", lambda s, d: classified(s, d).agg(F.count_if(F.col("revisao") == "pendente").alias("pending")), f"{archive.ACTS_SQL} SELECT count(*) FILTER ({_missing}) AS pending FROM a")
+
+# ---- masking, quality, findings
+_par = "x"
+for _p, _by, _fl in M.MASKS:
+    _par = f"regexp_replace({_par}, '{'(?i)' if _fl else ''}{_p}', '{_by.replace('$1', chr(92) + '1')}', 'g')"
+_mask = rf"array_to_string(list_transform(regexp_split_to_array(text, '\n{{2,}}'), lambda x: CASE WHEN {_m(M.CITATION, 'x')} THEN x ELSE {_par} END), chr(10) || chr(10))"
+on_acts("mask_text", {"template": M.mask(F.col("text"))}, f"{_mask} AS template")
+register(
+    "placeholders",
+    lambda s, d: acts(s, d).select("act_id", F.array_join(M.placeholders(M.mask(F.col("text"))), " ").alias("tokens")),
+    f"{archive.ACTS_SQL}, t AS (SELECT act_id, regexp_extract_all({_mask}, '{M.PLACEHOLDER}') AS xs FROM a) SELECT act_id, array_to_string({_distinct('xs')}, ' ') AS tokens FROM t",
+)
+register(
+    "quality_docs",
+    lambda s, d: M.quality_docs(G.page_slices(archive.documents(s, d))).select("doc_id", "pages_processed", F.size("empty_pages").alias("empty"), "integral"),
+    f"{archive.ACTS_SQL} SELECT doc_id, count(*) AS pages_processed, 0 AS empty, true AS integral FROM a GROUP BY doc_id",
+)
+register(
+    "illegible_ratio",
+    lambda s, d: documents(s, d).select("doc_id", M.illegible(F.col("text")).alias("illegible"), F.length(F.regexp_replace("text", r"[^\p{L}]", "")).alias("letters")),
+    r"SELECT doc_id, length(text) > 40 AND (len(regexp_extract_all(text, '[�¿]')) > 4 OR length(regexp_replace(text, '[^\p{L}]', '', 'g')) / length(text) < 0.35) AS illegible, length(regexp_replace(text, '[^\p{L}]', '', 'g'))::INT AS letters FROM documents",
+)
+_kept = {k: f"regexp_extract_all(text, '{'(?i)' if fl else ''}{p}')" for k, (p, fl) in M.PRESERVED.items()}
+on_acts("preserve_meta", {k: F.array_join(M.preserved(F.col("text"), k), "; ") for k in ("orgao", "datas", "edicao", "processos")},
+        ", ".join(f"array_to_string(({_distinct(f'list_transform({_kept[k]}, lambda x: trim(x))')})[:6], '; ') AS {k}" for k in ("orgao", "datas", "edicao", "processos")))
+register(
+    "long_paragraph",
+    lambda s, d: documents(s, d).select("doc_id", F.md5(M.long_paragraph(F.col("text")).cast("binary")).alias("digest")).filter("digest is not null"),
+    r"SELECT doc_id, md5(p) AS digest FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n{2,}'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 900)[1] AS p FROM documents) WHERE p IS NOT NULL",
+)
+register(
+    "repeated_line",
+    lambda s, d: M.repeated_lines(documents(s, d)).select("doc_id", F.md5(F.col("line").cast("binary")).alias("digest"), "n"),
+    r"WITH l AS (SELECT doc_id, i, regexp_replace(xs[i], '^\s+|\s+$', '', 'g') AS line FROM (SELECT doc_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS xs FROM documents))), c AS (SELECT doc_id, line, count(*) AS n, min(i) AS i FROM l WHERE length(line) > 40 GROUP BY 1, 2 HAVING count(*) >= 3) SELECT doc_id, md5(arg_min(line, i)) AS digest, arg_min(n, i) AS n FROM c GROUP BY 1",
+)
+_findings = [
+    ("editorial", "Comando ambíguo", "alta", _m(M.AMBIGUOUS, "text")), ("editorial", "Processo concreto ainda no modelo", "alta", f"regexp_matches({_mask}, '{T.CNJ}')"),
+    ("jurídica", "Extrato tratado como decisão", "alta", f"{_nature} = 'extrato'"), ("jurídica", "Classe sem apoio no texto", "alta", f"coalesce({_classe}, '') = ''"), ("jurídica", "Adequação normativa", "alta", "true"),
+]
+_listed = "list_filter([" + ", ".join(f"CASE WHEN {hit} THEN {{'kind': '{k}', 'problem': '{p}', 'priority': '{pr}'}} END" for k, p, pr, hit in _findings) + "], lambda x: x IS NOT NULL)"
+register(
+    "improvement_rows",
+    lambda s, d: M.improvements(classified(s, d)),
+    f"{archive.ACTS_SQL}, f AS (SELECT act_id, {_listed} AS xs FROM a), g AS (SELECT act_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM f) SELECT act_id, 'm' || i AS item, xs[i].kind AS kind, xs[i].problem AS problem, xs[i].priority AS priority FROM g",
+)
+register(
+    "improvements_by_kind",
+    lambda s, d: M.improvements(classified(s, d)).groupBy("kind").agg(F.count("*").alias("n")),
+    f"{archive.ACTS_SQL}, f AS (SELECT {_listed} AS xs FROM a) SELECT x.kind AS kind, count(*) AS n FROM (SELECT unnest(xs) AS x FROM f) GROUP BY 1",
+)
+
+# ---- linking
+_tokens = r"list_distinct(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: length(x) > 4))"
+register(
+    "link_duplicates",
+    lambda s, d: K.duplicates(documents(s, d)).filter("duplicate_of is not null"),
+    f"WITH n AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY {_norm('text')}) AS duplicate_of FROM documents) SELECT doc_id, duplicate_of FROM n WHERE duplicate_of < doc_id",
+)
+register(
+    "token_sets",
+    lambda s, d: documents(s, d).select("doc_id", F.size(K.tokens(F.col("text"))).alias("n"), F.md5(F.array_join(F.array_sort(K.tokens(F.col("text"))), " ").cast("binary")).alias("digest")),
+    f"SELECT doc_id, len({_tokens})::INT AS n, md5(array_to_string(list_sort({_tokens}), ' ')) AS digest FROM documents",
+)
+_PAIRS = f"""
+WITH t AS (SELECT doc_id, lang, {_tokens} AS ts, min(doc_id) OVER (PARTITION BY {_norm('text')}) AS first FROM documents),
+e AS (SELECT doc_id, lang, len(ts) AS n, first, unnest(ts) AS token FROM t),
+p AS (SELECT a.doc_id, b.doc_id AS other, any_value(a.first) AS first, count(*) AS i, any_value(a.n + b.n) - count(*) AS total
+  FROM e a JOIN e b ON a.token = b.token AND a.lang = b.lang AND b.doc_id < a.doc_id GROUP BY 1, 2)
+"""
+_rows = lambda s, d: documents(s, d).select("doc_id", F.col("lang").alias("block"), "text")
+register(
+    "jaccard_pairs",
+    lambda s, d: K.similar_pairs(_rows(s, d)).select("doc_id", "other", F.col("inter").cast("bigint").alias("inter"), F.col("total").cast("bigint").alias("total")),
+    f"{_PAIRS} SELECT doc_id, other, i AS inter, total FROM p WHERE i * 100 >= total * 72",
+)
+register("link_variants", lambda s, d: K.variants(_rows(s, d)), f"{_PAIRS} SELECT doc_id, other AS variant_of FROM p WHERE i * 100 >= total * 72 AND (first = doc_id OR other < first)")
+
+# ---- search, index, export
+register(
+    "fold_text",
+    lambda s, d: documents(s, d).select("doc_id", F.md5(T.fold(F.col("text")).cast("binary")).alias("digest")),
+    "SELECT doc_id, md5(lower(strip_accents(text))) AS digest FROM documents",
+)
+register(
+    "page_search",
+    lambda s, d: S.page_search(documents(s, d).select(F.col("doc_id").alias("page"), "text"), "Ción").select("page"),
+    "SELECT doc_id AS page FROM documents WHERE contains(lower(strip_accents(text)), 'cion') ORDER BY doc_id LIMIT 24",
+)
+register(
+    "search_snippet",
+    lambda s, d: documents(s, d).select("doc_id", S.snippet(F.col("text"), "cion").alias("snippet")).filter("snippet like '%ci%'"),
+    None,
+)
+register(
+    "cnj_inverted_index",
+    lambda s, d: S.inverted_index(G.page_slices(archive.documents(s, d)).select("page", "text")).select("cnj", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages")),
+    f"{archive.ACTS_SQL}, c AS (SELECT page, unnest(regexp_extract_all(text, '{T.CNJ}')) AS cnj FROM a) SELECT cnj, array_to_string(list_sort(list_distinct(list(page))), ',') AS pages FROM c GROUP BY 1",
+)
+register(
+    "cnj_first_page",
+    lambda s, d: S.inverted_index(G.page_slices(archive.documents(s, d)).select("page", "text")).select("cnj", F.get("pages", F.lit(0)).alias("page")),
+    f"{archive.ACTS_SQL}, c AS (SELECT page, unnest(regexp_extract_all(text, '{T.CNJ}')) AS cnj FROM a) SELECT cnj, min(page) AS page FROM c GROUP BY 1",
+)
+register(
+    "cnj_search",
+    lambda s, d: S.inverted_index(G.page_slices(archive.documents(s, d)).select("page", "text")).filter(F.col("cnj").contains(".6.14.0001")).orderBy("cnj").limit(12).select("cnj"),
+    f"{archive.ACTS_SQL}, c AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{T.CNJ}')) AS cnj FROM a) SELECT cnj FROM c WHERE contains(cnj, '.6.14.0001') ORDER BY cnj LIMIT 12",
+)
+register(
+    "convert_stats",
+    lambda s, d: G.page_slices(archive.documents(s, d)).groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars")).withColumn("scan", F.col("chars") / F.col("pages") < 20),
+    f"{archive.ACTS_SQL} SELECT doc_id, count(*) AS pages, sum(length(text))::BIGINT AS chars, sum(length(text)) / count(*) < 20 AS scan FROM a GROUP BY 1",
+)
+_fold1 = lambda x: f"regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({x})), '[\\[\\]]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
+_slug = lambda x: f"CASE WHEN {_fold1(x)} IN ('', 'nao-identificado') THEN 'a-classificar' ELSE substr({_fold1(x)}, 1, 60) END"
+on_acts("slug", {"slug": S.slug(F.col("classe"))}, f"{_slug(_known(_classe))} AS slug")
+_path = f"'modelos/' || ({_slug(_known(_classe))}) || '/' || ({_slug(_known(_rito))}) || '/' || ({_slug(_known(_fase))}) || '/' || ({_slug('act_id')}) || '.md'"
+on_acts("export_paths", {"path": S.export_path(F.col("classe"), F.col("rito"), F.col("fase"), F.col("act_id"))}, f"{_path} AS path")
+_cell = lambda x: f"CASE WHEN regexp_matches({x}, '[\",\\n]') THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE {x} END"
+_cells = ["act_id", "title", _nature, _known(_classe), _known(_rito), _known(_fase), _known(_tipo), _known(_subject), _known(_x(C.EXERCICIO, 1)), _known(_x(C.ELEICAO, 1)), "'pendente'",
+          "'arquivo-' || doc_id || '.md'", "page::VARCHAR", _path, "''", "''", _known(_x(C.DOCUMENT_ID, 1, "text"))]
+register("index_csv", lambda s, d: S.index_rows(classified(s, d)), f"{archive.ACTS_SQL} SELECT act_id, {' || chr(44) || '.join(f'({_cell(f"({c})")})' for c in _cells)} AS line FROM a")
+_gap = "list_filter([" + ", ".join(f"CASE WHEN coalesce({v}, '') = '' THEN '{C.LABELS[k]}' END" for k, v in {**_fields, "exercicio": _x(C.EXERCICIO, 1), "eleicao": _x(C.ELEICAO, 1)}.items()) + "], lambda x: x IS NOT NULL)"
+register("gap_rows", lambda s, d: S.gaps(classified(s, d), {k: v for k, v in C.LABELS.items() if k != "revisao"}), f"{archive.ACTS_SQL} SELECT act_id, unnest({_gap}) AS label FROM a")
+register("index_json", lambda s, d: classified(s, d).select("act_id", F.to_json(F.struct(F.col("act_id").alias("id"), F.col("title").alias("titulo"), "classe", "rito", "fase", "pages", "cnj")).alias("json")))
+register("crc32_text", lambda s, d: documents(s, d).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc32")))
+register(
+    "backup_manifest",
+    lambda s, d: archive.documents(s, d).select("doc_id", F.sha2("reading", 256).alias("sha256"), F.length("reading").alias("chars")),
+    f"{archive.ACTS_SQL}, r AS (SELECT doc_id, string_agg('<!-- página ' || page || ' -->' || chr(10) || text, chr(10) || chr(10) ORDER BY ord) AS reading FROM a GROUP BY 1) SELECT doc_id, sha256(reading) AS sha256, length(reading)::INT AS chars FROM r",
+)
+register(
+    "merge_next",
+    lambda s, d: S.merged(classified(s, d)).select("act_id", F.length("text").alias("chars"), F.size("pages").alias("n_pages"), "warning"),
+    f"{archive.ACTS_SQL}, n AS (SELECT act_id, text, page, own_cnj, lead(text) OVER w AS t2, lead(page) OVER w AS p2, lead(own_cnj) OVER w AS c2 FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY ord)) SELECT act_id, (length(text) + 2 + length(t2))::INT AS chars, CASE WHEN page = p2 THEN 1 ELSE 2 END AS n_pages, own_cnj <> c2 AS warning FROM n WHERE t2 IS NOT NULL",
+)
+register(
+    "weighted_median",
+    lambda s, d: S.weighted_median(s.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_linenumber"), "l_suppkey", "l_partkey", "l_linenumber"),
+    "WITH s AS (SELECT l_suppkey, l_partkey, sum(l_linenumber) AS w FROM lineitem GROUP BY 1, 2), r AS (SELECT *, sum(w) OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS run, sum(w) OVER (PARTITION BY l_suppkey) AS total FROM s) SELECT l_suppkey, min(l_partkey) AS median FROM r WHERE run >= total / 2 GROUP BY 1",
+)
+register(
+    "md_escape",
+    lambda s, d: documents(s, d).select("doc_id", F.md5(L.escape_inline(F.col("text")).cast("binary")).alias("digest")),
+    r"SELECT doc_id, md5(regexp_replace(text, '([\\`*_{}\[\]#<>])', '\\\1', 'g')) AS digest FROM documents",
+)
+on_acts("legal_unit", {"unit": F.exists(F.split("text", "\n"), L.legal_unit)},
+        f"len(list_filter(string_split(text, chr(10)), lambda x: (regexp_matches(trim(x), '{T.CNJ}') AND length(trim(x)) < 140) OR (regexp_matches(trim(x), '{L.HEADER}') AND length(trim(x)) < 180) OR (regexp_matches(trim(x), '{L.UNIT}') AND length(trim(x)) < 100))) > 0 AS unit")
+register(
+    "history_tail",
+    lambda s, d: K.last_states(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("at"))).select("doc_id", "at"),
+    "SELECT o_custkey AS doc_id, o_orderkey AS at FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r <= 12",
+)
+
+# ---- rows of single rules
+on_rows("dehyphenate", "prev string, nxt string", [("autos 0600001-", "23.2026"), ("guarda-", "chuva e o mais"), ("a apre-", "sentação da conta"), ("jurisdi-", "ção eleitoral restante"), ("sem hífen", "aqui"), ("pala-", "vra")],
+        lambda v: v.select("prev", L.dehyphenate(F.col("prev"), F.col("nxt")).alias("joined")), "SELECT prev, prev IN ('jurisdi-', 'pala-') AS joined FROM v")
+on_rows("page_spec", "spec string, total int", [("", 3), ("1-3, 5", 9), ("3-1", 9), ("9", 4), ("x", 4), ("8-9", 3), ("2–4", 3)],
+        lambda v: L.page_spec(v).select("spec", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages")),
+        "SELECT spec, CASE spec WHEN '' THEN '1,2,3' WHEN '1-3, 5' THEN '1,2,3,5' WHEN '3-1' THEN '1,2,3' WHEN '2–4' THEN '2,3' END AS pages FROM v")
+on_rows("repair_quotes", "id int, t string", [(1, "¿¿a b¿¿"), (2, "disse ¿sim¿ e"), (3, "¿aberto"), (4, "fim¿")], lambda v: v.select("id", L.repair_quotes(F.col("t")).alias("t")),
+        "SELECT id, CASE id WHEN 1 THEN '“a b”' WHEN 2 THEN 'disse “sim” e' WHEN 3 THEN '“aberto' ELSE 'fim”' END AS t FROM v")
+on_rows("list_items", "t string", [("1. item",), ("201. não",), ("a) letra",), ("• bala",), ("- traço",), ("texto",)], lambda v: v.select("t", L.list_item(F.col("t"))["kind"].alias("kind")),
+        "SELECT t, CASE t WHEN '1. item' THEN 'ol' WHEN '201. não' THEN NULL WHEN 'texto' THEN NULL ELSE 'ul' END AS kind FROM v")
+on_rows("line_shape", "t string", [("Classe: Recurso",), ("DIÁRIO DA JUSTIÇA",), ("Sumário ...... 3",), ("um texto comum.",)],
+        lambda v: v.select("t", L.is_field(F.col("t")).alias("field"), L.is_rubric(F.col("t")).alias("rubric"), L.is_leader(F.col("t")).alias("leader")),
+        "SELECT t, t LIKE 'Classe%' AS field, t LIKE 'DIÁRIO%' AS rubric, t LIKE '%....%' AS leader FROM v")
+on_rows("heading_level", "ratio double", [(1.0,), (1.28,), (1.69,), (1.7,)], lambda v: v.select("ratio", L.heading_level(F.col("ratio")).alias("level")), "SELECT ratio::DOUBLE AS ratio, CASE WHEN ratio >= 1.7 THEN 1 WHEN ratio >= 1.28 THEN 2 ELSE 3 END AS level FROM v")
+on_rows("active_text", "id int, faithful string, reading string, undone boolean", [(1, "fiel", "leitura", True), (2, "fiel", "leitura", False)],
+        lambda v: v.select("id", F.when(F.col("undone"), F.col("faithful")).otherwise(F.col("reading")).alias("t")), "SELECT id, CASE WHEN undone THEN faithful ELSE reading END AS t FROM v")
+on_rows("keepable", "id string, example boolean", [("a", True), ("b", False), ("c", None)], lambda v: v.filter(~F.coalesce("example", F.lit(False))).select("id"), "SELECT id FROM v WHERE NOT coalesce(example, false)")
+on_rows("should_write", "id string, example boolean", [("a", True), ("b", False), ("c", None)],
+        lambda v: v.agg((F.coalesce(F.bool_or(~F.coalesce("example", F.lit(False))), F.lit(False)) | (F.count_if("example") == 0)).alias("write")), "SELECT count(*) FILTER (NOT coalesce(example, false)) > 0 OR count(*) FILTER (example) = 0 AS write FROM v")
+on_rows("id_collisions", "id string", [("d1",), ("d1",), ("d2",)], lambda v: v.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"), "SELECT id, count(*) AS n FROM v GROUP BY id HAVING count(*) > 1")
+on_rows("remap_links", "doc_id string, old string", [("x", "d1-1"), ("y", "d1-1"), ("y", "d2-1"), ("y", "d3-1"), ("z", "d1-1")],
+        lambda v: K.remap(v, v.sparkSession.createDataFrame([("x", "d1-1", "n1")], "doc_id string, old string, new string"), v.sparkSession.createDataFrame([("d1-1", "n1"), ("d1-1", "n2"), ("d2-1", "n3")], "old string, new string")),
+        "SELECT doc_id, old, CASE WHEN doc_id = 'x' THEN 'n1' WHEN old = 'd2-1' THEN 'n3' WHEN old = 'd3-1' THEN old END AS new FROM v")
+on_rows("pending_migrations", "name string, done boolean", [("0001_a", True), ("0002_b", False), ("0003_c", False)],
+        lambda v: v.select("name").join(v.filter("done").select(F.col("name").alias("name")), "name", "left_anti").orderBy("name"), "SELECT name FROM v WHERE NOT done")
+on_rows("fill_template", "id int, t string", [(1, "Processo [PROCESSO] em [DATA]")], lambda v: v.select("id", M.fill(F.col("t"), {"[PROCESSO]": "P1", "[DATA]": " "}).alias("t")), "SELECT id, replace(t, '[PROCESSO]', 'P1') AS t FROM v")
+_ARCHIVE = [("a", "velho"), ("b", "velho"), ("c", "velho")]
+_IMPORT = [("b", "novo"), ("d", "novo")]
+for _policy in ("keep", "replace", "copy"):
+
+    def _restore(v: DataFrame, policy: str = _policy) -> DataFrame:
+        new = v.sparkSession.createDataFrame(_IMPORT, "id string, t string")
+        if policy == "keep":
+            return v.unionByName(new.join(v.select("id"), "id", "left_anti"))
+        if policy == "replace":
+            return v.join(new.select("id"), "id", "left_anti").unionByName(new)
+        clash = new.join(v.select("id"), "id", "left_semi").select(F.concat("id", F.lit("~"), F.substring(F.sha2(F.concat("id", "t"), 256), 1, 8)).alias("id"), "t")
+        return v.unionByName(new.join(v.select("id"), "id", "left_anti")).unionByName(clash)
+
+    _new = "n(id, t) AS (VALUES ('b', 'novo'), ('d', 'novo'))"
+    _sql = {
+        "keep": "SELECT * FROM v UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM v)",
+        "replace": "SELECT * FROM v WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n",
+        "copy": "SELECT * FROM v UNION ALL SELECT CASE WHEN id IN (SELECT id FROM v) THEN id || '~' || substr(sha256(id || t), 1, 8) ELSE id END, t FROM n",
+    }[_policy]
+    on_rows(f"restore_{_policy}", "id string, t string", _ARCHIVE, _restore, f", {_new} {_sql}")
+for _name, _side in (("missing_blobs", "docs without a blob"), ("orphan_blobs", "blobs without a document")):
+    _flip = _name == "orphan_blobs"
+
+    def _anti(v: DataFrame, flip: bool = _flip) -> DataFrame:
+        other = v.sparkSession.createDataFrame(_IMPORT, "id string, t string")
+        return (other if flip else v).select("id").join((v if flip else other).select("id"), "id", "left_anti")
+
+    on_rows(_name, "id string, t string", _ARCHIVE, _anti, f", {_new} " + ("SELECT id FROM n WHERE id NOT IN (SELECT id FROM v)" if _flip else "SELECT id FROM v WHERE id NOT IN (SELECT id FROM n)"))
+on_rows("blob_coalesce", "id string, given string", [("a", "novo"), ("b", None)],
+        lambda v: v.join(v.sparkSession.createDataFrame([("a", "velho"), ("b", "velho")], "id string, kept string"), "id", "left").select("id", F.coalesce("given", "kept").alias("blob")), "SELECT id, coalesce(given, 'velho') AS blob FROM v")
+on_rows("bbox_overlap", "line int, x double, y double, w double, h double", [(1, 0.0, 0.0, 10.0, 2.0), (2, 0.0, 5.0, 10.0, 2.0)],
+        lambda v: v.join(F.broadcast(v.sparkSession.createDataFrame([("u1", 5.0, 1.0, 3.0, 1.5), ("u2", 20.0, 5.0, 1.0, 1.0)], "url string, ax double, ay double, aw double, ah double")),  # the annotations of one page
+                         F.expr("ax < x + w and ax + aw > x and ay < y + h and ay + ah > y")).select("line", "url"), "SELECT line, 'u1' AS url FROM v WHERE line = 1")
