@@ -20,6 +20,7 @@ all others; an empty table gives an empty result; other columns pass through `cl
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +29,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import table, word_hashes, words
+from .common import table, word_hashes
 
 WINDOW = 13
+_SPACE = re.compile("[\x20\x09-\x0d]+")
 #: Bytes of text for each subtree group, and documents for each range of the last step.
 GROUP_BYTES = 6 << 20
 RANGE_DOCS = 1024
 #: Words of a batch that are sorted at once.
 SLICE_WORDS = 3_000_000
 _LAST = (1 << 63) - 1
+#: The seed of Spark's xxhash64, so that words hashed here are those hashed there.
+SPARK_SEED = 42
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -194,6 +198,8 @@ def clean(docs: DataFrame, size: int = WINDOW, group_bytes: int = GROUP_BYTES, d
     schema = StructType([*kept_fields, *new])
 
     def cut_out(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        from xxhash import xxh64_intdigest
+
         marked: dict[int, list[np.ndarray]] = {}
         for h, d in zip(right["hashes"].to_pylist(), right["docs"].to_pylist(), strict=True):
             hs, ds = _from_planes(h), np.frombuffer(d, np.int64)
@@ -203,18 +209,17 @@ def clean(docs: DataFrame, size: int = WINDOW, group_bytes: int = GROUP_BYTES, d
             for a, b in zip(starts, [*starts[1:], len(ds)], strict=True):
                 marked.setdefault(int(ds[a]), []).append(hs[a:b])
         n_words, n_removed, third, texts = [], [], [], []
-        flat, offsets = _flat(left["h__"].combine_chunks()) if left.num_rows else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
-        for i, (doc_id, text) in enumerate(zip(left["doc_id"].to_pylist(), left["text"].to_pylist(), strict=True)):
+        for doc_id, text in zip(left["doc_id"].to_pylist(), left["text"].to_pylist(), strict=True):
             hs = marked.get(_LAST if doc_id is None else doc_id)
-            n = int(offsets[i + 1] - offsets[i])
+            ws = text_words(text)
+            n = len(ws)
             gone = np.zeros(n, bool)
             if hs is not None and n >= size:
-                w, _ = windows(flat[offsets[i] : offsets[i + 1]], np.array([0, n]), size)
+                w, _ = windows(np.array([xxh64_intdigest(x.encode("utf-8", "surrogatepass"), SPARK_SEED) for x in ws], np.uint64), np.array([0, n]), size)
                 gone = covered(n, np.flatnonzero(np.isin(w, np.concatenate(hs))), size)
             n_words.append(n)
             n_removed.append(int(gone.sum()))
             if digest_only or n_removed[-1]:
-                ws = text_words(text)
                 kept = " ".join(ws if not n_removed[-1] else [x for x, g in zip(ws, gone.tolist(), strict=True) if not g])
             else:
                 kept = text
@@ -230,14 +235,12 @@ def clean(docs: DataFrame, size: int = WINDOW, group_bytes: int = GROUP_BYTES, d
         return pa.table(columns)
 
     columns = ["doc_id", "text"] if digest_only else docs.columns
-    left = docs.select(*columns, word_hashes(F.col("text")).alias("h__"), F.pmod(own, F.lit(ranges)).cast("int").alias("to_range"))
+    left = docs.select(*columns, F.pmod(own, F.lit(ranges)).cast("int").alias("to_range"))
     return left.groupBy("to_range").cogroup(answers.groupBy("to_range")).applyInArrow(cut_out, schema)
 
 
 def text_words(text: str | None) -> list[str]:
-    import re
-
-    return [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+    return [w for w in _SPACE.split(text or "") if w]
 
 
 def op8_prefix_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
