@@ -42,9 +42,9 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.classified(acts(spark, sf_dir))
 
 
-def on_acts(name: str, columns: dict[str, Column], sql_columns: str) -> None:
-    """A column or more for each act."""
-    register(name, lambda s, d: classified(s, d).select("act_id", *[c.alias(k) for k, c in columns.items()]), f"{archive.ACTS_SQL} SELECT act_id, {sql_columns} FROM a")
+def on_acts(name: str, columns: Callable[[], dict[str, Column]], sql_columns: str) -> None:
+    """A column or more for each act; made when the query runs, as columns need a session."""
+    register(name, lambda s, d: classified(s, d).select("act_id", *[c.alias(k) for k, c in columns().items()]), f"{archive.ACTS_SQL} SELECT act_id, {sql_columns} FROM a")
 
 
 def on_rows(name: str, schema: str, rows: list[tuple], make: Callable[[DataFrame], DataFrame], sql: str) -> None:
@@ -119,29 +119,29 @@ _fields = {
     "resultado": C.case_sql("blob", C.RESULTADO), "orgao": f"trim({_x(C.ORGAO)})", "grau": C.case_sql("blob", C.GRAU), "regime": f"array_to_string(({_distinct(_norms)})[:8], '; ')",
 }
 for _k, _v in _fields.items():
-    on_acts(f"classify_{_k}", {_k: F.col(_k)}, f"{_known(_v)} AS {_k}")
-on_acts("classify_dates", {"exercicio": F.col("exercicio"), "eleicao": F.col("eleicao")}, f"{_known(_x(C.EXERCICIO, 1))} AS exercicio, {_known(_x(C.ELEICAO, 1))} AS eleicao")
+    on_acts(f"classify_{_k}", lambda k=_k: {k: F.col(k)}, f"{_known(_v)} AS {_k}")
+on_acts("classify_dates", lambda: {"exercicio": F.col("exercicio"), "eleicao": F.col("eleicao")}, f"{_known(_x(C.EXERCICIO, 1))} AS exercicio, {_known(_x(C.ELEICAO, 1))} AS eleicao")
 _missing = " OR ".join(f"coalesce({v}, '') = ''" for v in (_classe, _tipo, _fase))
-on_acts("classify_revisao", {"revisao": F.col("revisao")}, f"CASE WHEN {_missing} THEN 'pendente' ELSE 'aguardando confirmação humana' END AS revisao")
+on_acts("classify_revisao", lambda: {"revisao": F.col("revisao")}, f"CASE WHEN {_missing} THEN 'pendente' ELSE 'aguardando confirmação humana' END AS revisao")
 _head = "(title || chr(10) || substr(text, 1, 500))"
 _nature = (
     f"CASE WHEN {_m(C.NATURE_MODEL, 'title')} OR {_m(C.NATURE_MODEL, 'substr(text, 1, 200)')} THEN 'modelo' WHEN {_m(C.NATURE_SUPPORT, _head)} THEN 'apoio' "
     f"WHEN {_m(C.NATURE_EXTRACT[0], 'title')} OR {_m(C.NATURE_EXTRACT[1], _head)} THEN 'extrato' "
     f"WHEN length(regexp_replace(text, '\\s', '', 'g')) < 40 OR {_m(C.NATURE_INCOMPLETE, 'text')} THEN 'incompleto' ELSE 'ato' END"
 )
-on_acts("infer_nature", {"nature": F.col("nature")}, f"{_nature} AS nature")
-on_acts("infer_voice", {"voice": F.col("voice")}, f"{C.case_sql('(title || chr(10) || substr(text, 1, 240))', C.VOICE, 'não identificada')} AS voice")
-on_acts("field_lookup", {"classe": F.col("classe"), "rito": F.col("rito")}, f"{_known(_classe)} AS classe, {_known(_rito)} AS rito")
-on_acts("own_cnjs", {"cnj": F.array_join("cnj", " ")}, "own_cnj AS cnj")
-on_acts("document_id", {"document_id": F.col("document_id")}, f"{_known(_x(C.DOCUMENT_ID, 1, 'text'))} AS document_id")
+on_acts("infer_nature", lambda: {"nature": F.col("nature")}, f"{_nature} AS nature")
+on_acts("infer_voice", lambda: {"voice": F.col("voice")}, f"{C.case_sql('(title || chr(10) || substr(text, 1, 240))', C.VOICE, 'não identificada')} AS voice")
+on_acts("field_lookup", lambda: {"classe": F.col("classe"), "rito": F.col("rito")}, f"{_known(_classe)} AS classe, {_known(_rito)} AS rito")
+on_acts("own_cnjs", lambda: {"cnj": F.array_join("cnj", " ")}, "own_cnj AS cnj")
+on_acts("document_id", lambda: {"document_id": F.col("document_id")}, f"{_known(_x(C.DOCUMENT_ID, 1, 'text'))} AS document_id")
 _printed = f"regexp_extract_all(text, '(?i){C.PRINTED}', 1)"
-on_acts("printed_pages", {"printed": F.array_join("printed_pages", " ")}, f"array_to_string({_distinct(_printed)}, ' ') AS printed")
+on_acts("printed_pages", lambda: {"printed": F.array_join("printed_pages", " ")}, f"array_to_string({_distinct(_printed)}, ' ') AS printed")
 register(
     "evidence_quote",
     lambda s, d: C.evidence(classified(s, d)).filter(F.col("fase") != U).select("act_id", F.length("fase_evidence").alias("chars"), F.col("fase_evidence").alias("quote")),
     None,
 )
-on_acts("labels_short", {"short": S.short_class(F.col("classe")), "label": S.pages_label(F.col("pages"))},
+on_acts("labels_short", lambda: {"short": S.short_class(F.col("classe")), "label": S.pages_label(F.col("pages"))},
         f"CASE WHEN contains({_known(_classe)}, 'anual') THEN 'Contas anuais' WHEN contains({_known(_classe)}, 'eleitorais') THEN 'Contas eleitorais' WHEN {_classe} = 'representação' THEN 'Representações' WHEN coalesce({_classe}, '') = '' THEN 'A classificar' ELSE {_classe} END AS short, 'Página ' || page AS label")
 register(
     "class_phase_counts",
@@ -161,7 +161,7 @@ _par = "x"
 for _p, _by, _fl in M.MASKS:
     _par = f"regexp_replace({_par}, '{'(?i)' if _fl else ''}{_p}', '{_by.replace('$1', chr(92) + '1')}', 'g')"
 _mask = rf"array_to_string(list_transform(regexp_split_to_array(text, '\n{{2,}}'), lambda x: CASE WHEN {_m(M.CITATION, 'x')} THEN x ELSE {_par} END), chr(10) || chr(10))"
-on_acts("mask_text", {"template": M.mask(F.col("text"))}, f"{_mask} AS template")
+on_acts("mask_text", lambda: {"template": M.mask(F.col("text"))}, f"{_mask} AS template")
 register(
     "placeholders",
     lambda s, d: acts(s, d).select("act_id", F.array_join(M.placeholders(M.mask(F.col("text"))), " ").alias("tokens")),
@@ -178,7 +178,7 @@ register(
     r"SELECT doc_id, length(text) > 40 AND (len(regexp_extract_all(text, '[�¿]')) > 4 OR length(regexp_replace(text, '[^\p{L}]', '', 'g')) / length(text) < 0.35) AS illegible, length(regexp_replace(text, '[^\p{L}]', '', 'g'))::INT AS letters FROM documents",
 )
 _kept = {k: f"regexp_extract_all(text, '{'(?i)' if fl else ''}{p}')" for k, (p, fl) in M.PRESERVED.items()}
-on_acts("preserve_meta", {k: F.array_join(M.preserved(F.col("text"), k), "; ") for k in ("orgao", "datas", "edicao", "processos")},
+on_acts("preserve_meta", lambda: {k: F.array_join(M.preserved(F.col("text"), k), "; ") for k in ("orgao", "datas", "edicao", "processos")},
         ", ".join(f"array_to_string(({_distinct(f'list_transform({_kept[k]}, lambda x: trim(x))')})[:6], '; ') AS {k}" for k in ("orgao", "datas", "edicao", "processos")))
 register(
     "long_paragraph",
@@ -270,9 +270,9 @@ register(
 )
 _fold1 = lambda x: f"regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({x})), '[\\[\\]]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
 _slug = lambda x: f"CASE WHEN {_fold1(x)} IN ('', 'nao-identificado') THEN 'a-classificar' ELSE substr({_fold1(x)}, 1, 60) END"
-on_acts("slug", {"slug": S.slug(F.col("classe"))}, f"{_slug(_known(_classe))} AS slug")
+on_acts("slug", lambda: {"slug": S.slug(F.col("classe"))}, f"{_slug(_known(_classe))} AS slug")
 _path = f"'modelos/' || ({_slug(_known(_classe))}) || '/' || ({_slug(_known(_rito))}) || '/' || ({_slug(_known(_fase))}) || '/' || ({_slug('act_id')}) || '.md'"
-on_acts("export_paths", {"path": S.export_path(F.col("classe"), F.col("rito"), F.col("fase"), F.col("act_id"))}, f"{_path} AS path")
+on_acts("export_paths", lambda: {"path": S.export_path(F.col("classe"), F.col("rito"), F.col("fase"), F.col("act_id"))}, f"{_path} AS path")
 _cell = lambda x: f"CASE WHEN regexp_matches({x}, '[\",\\n]') THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE {x} END"
 _cells = ["act_id", "title", _nature, _known(_classe), _known(_rito), _known(_fase), _known(_tipo), _known(_subject), _known(_x(C.EXERCICIO, 1)), _known(_x(C.ELEICAO, 1)), "'pendente'",
           "'arquivo-' || doc_id || '.md'", "page::VARCHAR", _path, "''", "''", _known(_x(C.DOCUMENT_ID, 1, "text"))]
@@ -301,7 +301,7 @@ register(
     lambda s, d: documents(s, d).select("doc_id", F.md5(L.escape_inline(F.col("text")).cast("binary")).alias("digest")),
     r"SELECT doc_id, md5(regexp_replace(text, '([\\`*_{}\[\]#<>])', '\\\1', 'g')) AS digest FROM documents",
 )
-on_acts("legal_unit", {"unit": F.exists(F.split("text", "\n"), L.legal_unit)},
+on_acts("legal_unit", lambda: {"unit": F.exists(F.split("text", "\n"), L.legal_unit)},
         f"len(list_filter(string_split(text, chr(10)), lambda x: (regexp_matches(trim(x), '{T.CNJ}') AND length(trim(x)) < 140) OR (regexp_matches(trim(x), '{L.HEADER}') AND length(trim(x)) < 180) OR (regexp_matches(trim(x), '{L.UNIT}') AND length(trim(x)) < 100))) > 0 AS unit")
 register(
     "history_tail",
