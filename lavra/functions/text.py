@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: What counts as white space: ASCII blanks, no-break blanks, the byte order mark, Unicode separators.
 _WS = r"\s\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+_BLANKS = " \t\n\v\f\r" + "".join(map(chr, [0xA0, 0xFEFF, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 UNKNOWN = "[NÃO IDENTIFICADO]"
 CNJ = r"\d{7}-\d{2}\.\d{4}\.\d\.\d{2}\.\d{4}"
 
@@ -48,7 +49,7 @@ def replace(text: Column, pattern: str, by: str, flags: str = "iu") -> Column:
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{_WS}]+|[{_WS}]+\\z", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def squeeze(text: Column) -> Column:
