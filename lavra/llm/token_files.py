@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,12 @@ class Encoder:
         ]
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each worker process, so that tasks that follow one another share its bounded table."""
+    return Encoder(path)
+
+
 def key_hash(keys: np.ndarray, seed: int) -> np.ndarray:
     """64-bit mix of unsigned 64-bit keys."""
     with np.errstate(over="ignore"):
@@ -167,7 +174,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID, seg
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = Encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(vocabulary), np.array([end_id], "<u4").tobytes()
         number, held, waiting = TaskContext.get().partitionId() << 32, 0, []
         last, occurrence = object(), 0
         for b in batches:
