@@ -91,18 +91,22 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def key_hash(keys: np.ndarray, seed: int) -> np.ndarray:
-    """64-bit mix of unsigned 64-bit keys."""
+def key_hash(keys: np.ndarray, seed: int | np.ndarray) -> np.ndarray:
+    """64-bit mix of unsigned 64-bit keys; an array of seeds is matched with the keys by broadcasting."""
     with np.errstate(over="ignore"):
-        x = keys + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))
+        x = keys + (np.asarray(seed).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
         return x ^ (x >> np.uint64(31))
 
 
+def as_keys(ids: np.ndarray, occurrences: np.ndarray, nulls: np.ndarray) -> np.ndarray:
+    """Keys of rows: doc_id (0 where null), occurrence number, whether doc_id is null."""
+    return key_hash(ids.astype(np.int64).view(np.uint64), 1000 + 2 * occurrences.astype(np.int64) + nulls)
+
+
 def as_key(doc_id: int | None, occurrence: int = 0) -> np.uint64:
-    base = np.array([0 if doc_id is None else doc_id], np.int64).view(np.uint64)
-    return key_hash(base, 1000 + 2 * occurrence + (doc_id is None))[0]
+    return as_keys(np.array([doc_id or 0]), np.array([occurrence]), np.array([doc_id is None]))[0]
 
 
 @dataclass(frozen=True)
@@ -124,11 +128,15 @@ class PerfectHash:
         by_size = np.argsort(-sizes, kind="stable")
         for b in by_size[sizes[by_size] > 1]:
             own = keys[order[starts[b] : starts[b + 1]]]
-            for seed in range(1, 2**31 - 1):
-                slots = key_hash(own, seed) % np.uint64(n)
-                if not taken[slots].any() and len(np.unique(slots)) == len(slots):
+            at, width = 1, 16
+            while True:  # the least seed that serves, looked for in growing blocks
+                slots = key_hash(own[None, :], np.arange(at, at + width)[:, None]) % np.uint64(n)
+                apart = np.diff(np.sort(slots, axis=1), axis=1).all(axis=1)
+                good = np.flatnonzero(apart & ~taken[slots].any(axis=1))
+                if len(good):
                     break
-            seeds[b], taken[slots] = seed, True
+                at, width = at + width, min(4 * width, 4096)
+            seeds[b], taken[slots[good[0]]] = at + good[0], True
         single = by_size[sizes[by_size] == 1]
         seeds[single] = -1 - np.flatnonzero(~taken)[: len(single)]
         return cls(n, seeds)
@@ -136,11 +144,8 @@ class PerfectHash:
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """A slot below n for any key; for the keys it was built on, each its own."""
         seed = self.seeds[key_hash(keys, 0) % np.uint64(len(self.seeds))].astype(np.int64)
-        out = np.where(seed < 0, -1 - seed, 0)
-        for s in np.unique(seed[seed >= 0]):
-            at = seed == s
-            out[at] = (key_hash(keys[at], int(s)) % np.uint64(self.n)).astype(np.int64)
-        return out
+        spread = (key_hash(keys, np.maximum(seed, 0)) % np.uint64(self.n)).astype(np.int64)
+        return np.where(seed < 0, -1 - seed, spread)
 
 
 def fingerprint(keys: np.ndarray) -> np.ndarray:
@@ -151,7 +156,9 @@ SEGMENT = "segment bigint, first_key bigint, last_key bigint, n_docs bigint, n_i
 
 
 def _segment(number: int, docs: list[tuple[int | None, int, bytes]]) -> dict:
-    keys = np.array([as_key(d, o) for d, o, _ in docs], np.uint64)
+    numbers = np.array([d or 0 for d, _, _ in docs], "<i8")
+    occurrences, nulls = np.array([o for _, o, _ in docs], "<i4"), np.array([d is None for d, _, _ in docs], bool)
+    keys = as_keys(numbers, occurrences, nulls)
     index = PerfectHash.build(keys)
     lengths = np.array([len(p) // 4 for _, _, p in docs], np.uint64)
     entries = np.zeros(len(docs), ENTRY)
@@ -161,7 +168,7 @@ def _segment(number: int, docs: list[tuple[int | None, int, bytes]]) -> dict:
     ids = [d for d, _, _ in docs if d is not None]
     return {
         "segment": number, "first_key": ids[0] if ids else None, "last_key": ids[-1] if ids else None, "n_docs": len(docs), "n_ids": int(lengths.sum()),
-        "keys": np.array([d or 0 for d, _, _ in docs], "<i8").tobytes(), "occurrences": np.array([o for _, o, _ in docs], "<i4").tobytes(), "nulls": np.array([d is None for d, _, _ in docs], bool).tobytes(),
+        "keys": numbers.tobytes(), "occurrences": occurrences.tobytes(), "nulls": nulls.tobytes(),
         "seeds": index.seeds.astype("<i4").tobytes(), "entries": entries.tobytes(), "payload": b"".join(p for _, _, p in docs),
     }
 
@@ -228,7 +235,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 ids, occurrences, nulls = np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["occurrences"], "<i4"), np.frombuffer(row["nulls"], bool)
-                keys = np.array([as_key(None if z else int(d), int(o)) for d, o, z in zip(ids, occurrences, nulls, strict=True)], np.uint64)
+                keys = as_keys(ids, occurrences, nulls)
                 entries = np.frombuffer(row["entries"], ENTRY)
                 e = entries[PerfectHash(len(entries), np.frombuffer(row["seeds"], "<i4")).slots(keys)]
                 payload = memoryview(row["payload"])
