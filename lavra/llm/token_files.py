@@ -36,8 +36,9 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 SEGMENT_IDS = 1 << 20
 MOST_PIECES = 600_000
-# Fixed value: the splitting pattern of byte-level vocabularies.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+# Fixed value: the splitting pattern of byte-level vocabularies. Runs of letters and digits are tried first: they
+# cannot begin at an apostrophe, so the pieces are the same.
+PATTERN = r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 ENTRY = np.dtype([("fingerprint", "<u4"), ("length", "<u4"), ("offset", "<u8")])
 
 
@@ -57,7 +58,7 @@ class Encoder:
         """Encode pieces with few calls of the library: the pattern never joins a piece with the line feed
         before or after it, so that pieces on lines of their own are encoded as if alone."""
         blank = [w for w in new if w.isspace() or "\n" in w]
-        lines = sorted(set(new).difference(blank))
+        lines = list(set(new).difference(blank))
         for w in blank:
             self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
