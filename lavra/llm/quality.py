@@ -39,8 +39,8 @@ MOST_FALSE_ALARMS = 0.002
 _CLASS = bytes(
     97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 32 if b in b" \t\n\v\f\r" else b for b in range(256)
 )
-_RUN = re.compile(rb"([^ ])\1+")
-_SPACE = re.compile("[\x20\x09-\x0d]+")
+_RUN = re.compile(rb"(.)\1+")
+_PLAIN = b"aA0 .,;:'-()\"?"
 
 
 @dataclass(frozen=True)
@@ -58,20 +58,22 @@ class Stats:
 
 def stats(text: str | None) -> Stats:
     text = text or ""
-    ws = [w for w in _SPACE.split(text) if w]
+    raw = text.encode("utf-8", "surrogatepass")
+    ws = raw.split()  # bytes are split at just the white space of the word contracts
     n = len(ws)
-    classes = text.encode("utf-8", "surrogatepass").translate(_CLASS)
-    shapes = Counter(_RUN.sub(rb"\1", classes).split())
+    classes = raw.translate(_CLASS)
+    shapes: Counter = Counter()
+    for s, c in Counter(classes.split()).items():  # few are distinct: runs are cut in those only
+        shapes[_RUN.sub(rb"\1", s)] += c
     with_letters = sum(c for s, c in shapes.items() if b"a" in s or b"A" in s)
     upper = sum(c for s, c in shapes.items() if b"A" in s and b"a" not in s)
-    plain = sum(map(classes.count, (b"a", b"A", b"0", b" ", b".", b",", b";", b":", b"'", b"-", b"(", b")", b'"', b"?")))
     lines = [x for x in text.split("\n") if x]
     return Stats(
         n,
         sum(map(operator.eq, ws, ws[1:])) / max(1, n - 1),
         float(np.log(max(1, len(set(ws)))) / np.log(n)) if n > 1 else 1.0,
         upper / max(1, with_letters),
-        (len(classes) - plain) / max(1, len(classes)),
+        len(classes.translate(None, _PLAIN)) / max(1, len(classes)),
         sum(c for s, c in shapes.items() if s[-1:] in b".!?") / max(1, n),
         len(text) / max(1, n) - 1,
         len(set(lines)) / max(1, len(lines)),
