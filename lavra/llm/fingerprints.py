@@ -43,14 +43,13 @@ def _sample(term: Column, ln_weight: Column, k: int) -> Column:
     return fixed.bitwiseOR(F.shiftrightunsigned(h2, 16).bitwiseXOR(t).bitwiseAND(F.lit(0xFFFF)))
 
 
-def signatures(terms: DataFrame, by: list[str], samples: int = SAMPLES, carry: tuple[str, ...] = ()) -> DataFrame:
+def signatures(terms: DataFrame, by: list[str], samples: int = SAMPLES) -> DataFrame:
     """terms(*by, term bigint, ln_weight): one fingerprint per by. A null ln_weight only marks that the bag
-    exists. carry: numbers that depend on by. No shuffle if terms is partitioned by some of `by`."""
+    exists. No shuffle if terms is partitioned by some of `by`."""
     mins = [F.min(_sample(F.col("term"), F.col("ln_weight"), k)).alias(f"m{k}") for k in range(samples)]
     hexed = [F.lpad(F.lower(F.hex(F.col(f"m{k}").bitwiseAND(F.lit(0xFFFF)))), 4, "0") for k in range(samples)]
     fp = F.when(F.col("m0").isNull(), F.lit(EMPTY)).otherwise(F.concat(*hexed))
-    firsts = [F.first(c).alias(c) for c in carry]
-    return terms.groupBy(*by).agg(*mins, *firsts).select(*by, *carry, fp.alias("fingerprint"))
+    return terms.groupBy(*by).agg(*mins).select(*by, fp.alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -60,14 +59,14 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return F.when((a == EMPTY) | (b == EMPTY), (a == b).cast("double")).otherwise(same)
 
 
-def bag(df: DataFrame, by: list[str], text: str, samples: int = SAMPLES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Fingerprints of a text column, one row per by."""
-    terms = df.select(*by, *carry, F.explode_outer(words(F.col(text))).alias("word")).select(
-        *by, *carry, F.xxhash64("word").alias("term"), F.when(F.col("word").isNotNull(), 1).alias("one")
+def bag(df: DataFrame, by: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
+    """Fingerprints of a text column, one row per by. Nothing but the key goes with the words, since that
+    aggregation has a row for each distinct word of each text."""
+    terms = df.select(*by, F.explode_outer(words(F.col(text))).alias("word")).select(
+        *by, F.xxhash64("word").alias("term"), F.when(F.col("word").isNotNull(), 1).alias("one")
     )
-    firsts = [F.first(c).alias(c) for c in carry]
-    counted = terms.groupBy(*by, "term").agg(F.log(F.sum("one").cast("double")).alias("ln_weight"), *firsts)
-    return signatures(counted, by, samples, carry)
+    counted = terms.groupBy(*by, "term").agg(F.log(F.sum("one").cast("double")).alias("ln_weight"))
+    return signatures(counted, by, samples)
 
 
 def neighbours(docs: DataFrame, per_cell: int = 512) -> DataFrame:
@@ -118,29 +117,22 @@ def op4_weighted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and the likeness of each document's
     fingerprint to the edited text's and to the next document's."""
     both = edited(table(spark, sf_dir, "documents", "doc_id", "text"))
-    # the digest travels as five numbers, which a hash aggregation can hold
-    sha = [F.conv(F.substring("sha", 1 + 15 * i, 15), 16, 10).cast("bigint").alias(f"sha{i}") for i in range(5)]
-    info = ("pad", "doc_id", "n_chars", *(f"sha{i}" for i in range(5)))
     own = F.struct(F.lit(0).alias("variant"), F.col("text").alias("t"))
     changed = F.struct(F.lit(1).alias("variant"), F.col("edited").alias("t"))
-    texts = (
-        both.withColumn("sha", F.sha2(F.encode("edited", "UTF-8"), 256))
-        .select("cell", "place", F.col("pad").cast("int").alias("pad"), "doc_id", "n_chars", *sha, F.explode(F.when(F.col("pad"), F.array(own)).otherwise(F.array(own, changed))).alias("v"))
-        .select("cell", "place", *info, F.col("v.variant").alias("variant"), F.col("v.t").alias("t"))
-    )
-    prints = bag(texts, ["cell", "place", "variant"], "t", carry=info)
+    texts = both.select("cell", "place", F.explode(F.when(F.col("pad"), F.array(own)).otherwise(F.array(own, changed))).alias("v"))
+    prints = bag(texts.select("cell", "place", F.col("v.variant").alias("variant"), F.col("v.t").alias("t")), ["cell", "place", "variant"], "t")
     row = prints.groupBy("cell", "place").agg(
         F.max(F.when(F.col("variant") == 0, F.col("fingerprint"))).alias("fingerprint"),
         F.max(F.when(F.col("variant") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
-        *[F.max(c).alias(c) for c in info],
     )
-    hexed = F.concat(*[F.lpad(F.lower(F.hex(f"sha{i}")), 15 if i < 4 else 4, "0") for i in range(5)])
     following = F.lead("fingerprint").over(Window.partitionBy("cell").orderBy("place"))
+    # what else a document returns comes back by its place: one short row for each document
+    info = both.filter(~F.col("pad")).select("cell", "place", "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"))
     return (
         row.withColumn("next_fingerprint", following)
-        .filter("pad = 0")
+        .join(info, ["cell", "place"])
         .select(
-            "doc_id", "n_chars", hexed.alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+            "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
             likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
             likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
         )
