@@ -23,7 +23,7 @@ from pyspark.sql import Window
 
 from .common import partitions, table, words
 
-SAMPLES = 16
+SAMPLES = 32
 EMPTY = "-"
 #: Ranges of doc_id that are sorted on their own; the heads of all ranges, at most so many rows, are broadcast.
 MOST_CELLS = 65536
