@@ -58,6 +58,47 @@ def variants(rows: DataFrame, key: str = "doc_id", like: tuple[int, int] = LIKE)
     return similar_pairs(rows, key, like).join(stop, key).filter(F.col("stop").isNull() | (F.col("other") < F.col("stop"))).select(key, F.col("other").alias("variant_of"))
 
 
+def links(rows: DataFrame, key: str = "doc_id", like: tuple[int, int] = LIKE) -> DataFrame:
+    """rows(key, block, text) to key, duplicate_of and variants, all earlier keys of `variants` in one array.
+
+    A token that no other row of the block has is in no intersection, so rows of one block, one set of shared
+    tokens and one size are alike to all others: pairs are found and verified between such classes and
+    written out for their members last. Null blocks are equal to each other."""
+    a, b = like
+    each = rows.select(key, F.struct("block").alias("block"), F.explode(tokens(F.col("text"))).alias("token"))
+    counts = each.groupBy("block", "token").agg(F.count("*").alias("df"))
+    shared = F.array_sort(F.collect_list(F.when(F.col("df") > 1, F.struct("df", "token"))))
+    sets = each.join(counts, ["block", "token"]).groupBy(key, "block").agg(F.count("*").cast("int").alias("n"), F.transform(shared, lambda x: x["token"]).alias("tokens"))
+    classes = sets.groupBy("block", "tokens", "n").agg(F.min(key).alias("rep"))
+    # tokens of one row alone are the rarest and lead the prefix
+    most = F.size("tokens") - F.ceil(F.col("n") * a / b).cast("int") + 1
+    probe = classes.withColumn("most", most).filter("most > 0").select("rep", "block", "n", F.explode(F.slice("tokens", 1, F.col("most"))).alias("token"))
+    left, right = probe.alias("l"), probe.toDF(*probe.columns).alias("r")
+    near = (F.col("l.n") * a <= F.col("r.n") * b) & (F.col("r.n") * a <= F.col("l.n") * b)
+    found = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.block") == F.col("r.block")) & (F.col("r.rep") <= F.col("l.rep")) & near)
+    pairs = found.select(F.col("l.rep").alias("rep"), F.col("r.rep").alias("like")).distinct()
+    one = classes.select("rep", F.col("tokens").alias("x"), F.col("n").alias("nx"))
+    two = classes.select(F.col("rep").alias("like"), F.col("tokens").alias("y"), F.col("n").alias("ny"))
+    inter = F.size(F.array_intersect("x", "y"))
+    alike = pairs.join(one, "rep").join(two, "like").filter(inter * b >= (F.col("nx") + F.col("ny") - inter) * a).select("rep", "like")
+    ways = F.array(F.struct("rep", "like"), F.when(F.col("rep") != F.col("like"), F.struct(F.col("like").alias("rep"), F.col("rep").alias("like"))))
+    alike = alike.select(F.explode(F.array_compact(ways)).alias("w")).select("w.rep", "w.like")
+    members = sets.join(classes, ["block", "tokens", "n"]).select(key, "rep")
+    stop = duplicates(rows, key)
+    others = members.select(F.col("rep").alias("like"), F.col(key).alias("other"))
+    before = (F.col("other") < F.col(key)) & (F.col("duplicate_of").isNull() | (F.col("other") < F.col("duplicate_of")))
+    variants = members.join(stop, key).join(alike, "rep").join(others, "like").filter(before).groupBy(key).agg(F.array_sort(F.collect_list("other")).alias("variants"))
+    none = F.array().cast(variants.schema["variants"].dataType)
+    return stop.join(variants, key, "left").select(key, "duplicate_of", F.coalesce("variants", none).alias("variants"))
+
+
+def act_links(acts: DataFrame) -> DataFrame:
+    """classified acts to doc_id, ord, duplicate_of (an act_id or null) and variants (act_ids), in the order of
+    the archive; variants are of equal classe and tipo."""
+    rows = acts.select(F.struct("doc_id", "ord", "act_id").alias("key"), F.struct("classe", "tipo").alias("block"), "text")
+    return links(rows, "key").select("key.doc_id", "key.ord", F.col("duplicate_of.act_id").alias("duplicate_of"), F.transform("variants", lambda x: x["act_id"]).alias("variants"))
+
+
 def remap(links: DataFrame, local: DataFrame, everywhere: DataFrame) -> DataFrame:
     """links(doc_id, old) with new: the document's own new id, else the only new id anywhere, else null if
     ambiguous and old if unknown. local(doc_id, old, new), everywhere(old, new)."""

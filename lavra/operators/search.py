@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lavra.functions.text import CNJ, UNKNOWN, every, fold, unaccent
+from lavra.operators.linking import act_links
 
 # Columns of the index, short names of classes.
 INDEX = ["id", "titulo", "natureza", "classe", "rito", "fase", "tipo", "assunto", "exercicio", "eleicao", "revisao", "origem", "paginas", "arquivo", "duplicata_de", "variantes", "id_documento"]
@@ -71,12 +72,18 @@ def pages_label(pages: Column) -> Column:
     return F.when(F.size(pages) == 0, "Página não marcada").when(F.size(pages) == 1, one).otherwise(many)
 
 
+def linked(acts: DataFrame) -> DataFrame:
+    """classified acts with duplicate_of and variants. The acts are read four times, hence kept."""
+    kept = acts.persist()
+    return kept.join(act_links(kept), ["doc_id", "ord"])
+
+
 def index_rows(acts: DataFrame) -> DataFrame:
-    """classified acts as lines of the CSV index."""
+    """linked acts as lines of the CSV index."""
     cells = [
         "act_id", "title", "nature", "classe", "rito", "fase", "tipo", "assunto", "exercicio", "eleicao", F.lit("pendente"), "filename",
         F.coalesce(F.nullif(F.array_join(F.transform("pages", lambda p: p.cast("string")), " "), F.lit("")), F.lit("sem-pagina")),
-        export_path(F.col("classe"), F.col("rito"), F.col("fase"), F.col("act_id")), F.lit(""), F.lit(""), "document_id",
+        export_path(F.col("classe"), F.col("rito"), F.col("fase"), F.col("act_id")), F.coalesce("duplicate_of", F.lit("")), F.array_join("variants", " "), "document_id",
     ]
     return acts.select("act_id", F.concat_ws(",", *[csv_cell(F.col(c) if isinstance(c, str) else c) for c in cells]).alias("line"))
 

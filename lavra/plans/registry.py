@@ -276,10 +276,13 @@ on_acts("export_paths", lambda: {"path": S.export_path(F.col("classe"), F.col("r
 _cell = lambda x: f"CASE WHEN regexp_matches({x}, '[\",\\n]') THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE {x} END"
 _cells = ["act_id", "title", _nature, _known(_classe), _known(_rito), _known(_fase), _known(_tipo), _known(_subject), _known(_x(C.EXERCICIO, 1)), _known(_x(C.ELEICAO, 1)), "'pendente'",
           "'arquivo-' || doc_id || '.md'", "page::VARCHAR", _path, "''", "''", _known(_x(C.DOCUMENT_ID, 1, "text"))]
-register("index_csv", lambda s, d: S.index_rows(classified(s, d)), f"{archive.ACTS_SQL} SELECT act_id, {' || chr(44) || '.join(f'({_cell(f"({c})")})' for c in _cells)} AS line FROM a")
+register("index_csv", lambda s, d: S.index_rows(S.linked(classified(s, d))), f"{archive.ACTS_SQL} SELECT act_id, {' || chr(44) || '.join(f'({_cell(f"({c})")})' for c in _cells)} AS line FROM a")
 _gap = "list_filter([" + ", ".join(f"CASE WHEN coalesce({v}, '') = '' THEN '{C.LABELS[k]}' END" for k, v in {**_fields, "exercicio": _x(C.EXERCICIO, 1), "eleicao": _x(C.ELEICAO, 1)}.items()) + "], lambda x: x IS NOT NULL)"
 register("gap_rows", lambda s, d: S.gaps(classified(s, d), {k: v for k, v in C.LABELS.items() if k != "revisao"}), f"{archive.ACTS_SQL} SELECT act_id, unnest({_gap}) AS label FROM a")
-register("index_json", lambda s, d: classified(s, d).select("act_id", F.to_json(F.struct(F.col("act_id").alias("id"), F.col("title").alias("titulo"), "classe", "rito", "fase", "pages", "cnj")).alias("json")))
+register(
+    "index_json",
+    lambda s, d: S.linked(classified(s, d)).select("act_id", F.to_json(F.struct(F.col("act_id").alias("id"), F.col("title").alias("titulo"), "classe", "rito", "fase", "pages", "cnj", F.col("duplicate_of").alias("duplicata_de"), F.col("variants").alias("variantes"))).alias("json")),
+)
 register("crc32_text", lambda s, d: documents(s, d).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc32")))
 register(
     "backup_manifest",
