@@ -245,7 +245,7 @@ register(
 )
 register(
     "search_snippet",
-    lambda s, d: documents(s, d).select("doc_id", S.snippet(F.col("text"), "cion").alias("snippet")).filter("snippet like '%ci%'"),
+    lambda s, d: documents(s, d).select("doc_id", S.snippet(F.col("text"), "cion").alias("snippet")),
     None,
 )
 register(
