@@ -36,7 +36,8 @@ def token_sets(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def similar_pairs(rows: DataFrame, key: str = "doc_id", like: tuple[int, int] = LIKE) -> DataFrame:
-    """Pairs of one block with Jaccard similarity like[0] / like[1] or more: key, other (the lesser), inter, total."""
+    """Pairs of one block with Jaccard similarity like[0] / like[1] or more: key, other (the lesser), inter, total.
+    Null blocks are equal to each other."""
     a, b = like
     sets = token_sets(rows, key).withColumn("n", F.size("tokens"))
     prefix = F.slice("tokens", 1, F.col("n") - F.ceil(F.col("n") * a / b).cast("int") + 1)
@@ -44,7 +45,7 @@ def similar_pairs(rows: DataFrame, key: str = "doc_id", like: tuple[int, int] =
     probe = sets.select(key, "block", "n", F.posexplode(prefix).alias("at", "token"))
     left, right = probe.alias("l"), probe.toDF(*probe.columns).alias("r")
     near = (F.col("l.n") * a <= F.col("r.n") * b) & (F.col("r.n") * a <= F.col("l.n") * b)
-    found = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.block") == F.col("r.block")) & (F.col(f"r.{key}") < F.col(f"l.{key}")) & near)
+    found = left.join(right, (F.col("l.token") == F.col("r.token")) & F.col("l.block").eqNullSafe(F.col("r.block")) & (F.col(f"r.{key}") < F.col(f"l.{key}")) & near)
     pairs = found.select(F.col(f"l.{key}").alias(key), F.col(f"r.{key}").alias("other")).distinct()
     one, two = sets.select(key, F.col("tokens").alias("x")), sets.select(F.col(key).alias("other"), F.col("tokens").alias("y"))
     inter = F.size(F.array_intersect("x", "y"))

@@ -60,3 +60,10 @@ def test_null_blocks(spark):
     df = spark.createDataFrame([(1, None, texts[0]), (2, None, texts[1]), (3, "pt", texts[2]), (4, "pt", ""), (5, None, None)], "doc_id long, block string, text string")
     got = {r.doc_id: list(r.variants) for r in K.links(df).select("doc_id", F.col("variants")).collect()}
     assert got == {1: [], 2: [1], 3: [], 4: [], 5: []}
+
+
+def test_pairs_of_null_blocks(spark):
+    texts = [f"{COMMON} unico{i}" for i in range(4)]
+    df = spark.createDataFrame([(1, None, texts[0]), (2, None, texts[1]), (3, "pt", texts[2]), (4, "pt", texts[3])], "doc_id long, block string, text string")
+    assert sorted((r.doc_id, r.other) for r in K.similar_pairs(df).collect()) == [(2, 1), (4, 3)]
+    assert sorted((r.doc_id, r.variant_of) for r in K.variants(df).collect()) == [(2, 1), (4, 3)]
