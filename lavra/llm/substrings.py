@@ -183,7 +183,7 @@ def _subtree(ranges: int):
 
 def clean(docs: DataFrame, size: int = WINDOW, group_bytes: int = GROUP_BYTES, digest_only: bool = False) -> DataFrame:
     """docs(doc_id, text, ...) with n_words, n_removed, spans (start and length in words of what was removed:
-    the document's maximal repeats) and text holding the kept words. Texts of which nothing goes stay as they
+    unions of its repeated windows) and text holding the kept words. Texts of which nothing goes stay as they
     are. digest_only: doc_id, n_words, n_removed, kept_sha256 instead."""
     docs = docs.drop("n_words", "n_removed", "spans")
     rows, total = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
