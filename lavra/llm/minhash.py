@@ -7,22 +7,23 @@ weight, which is thinned away beyond w. A component's value is its earliest poin
 component with the probability of their weighted Jaccard similarity. A shingle stops once its next point
 comes after all components of its document are taken by earlier ones: one or two points for most shingles.
 
-Components are cut into `BANDS` bands of `ROWS`; documents that share a band are candidates (a pair of
-similarity 0.8 shares none with a probability of about 1e-7). Copies of a text are one candidate. No pairs
-of a bucket are listed: each member is verified against the bucket's least document (exact overlap of the
-two multisets), verified links give classes, and where a group of candidates still falls into several
-classes, all documents outside its largest class are compared with the whole group, in blocks of bounded
-size and by products of count matrices, so that no link between different texts is lost.
+Components are cut into `BANDS` bands of `ROWS`; texts that share a band are candidates. A pair of similarity
+0.8 shares none with a probability of 0.00015 (one of 0.85: of 2e-7), one of 0.3 shares some with 0.003. Equal
+texts are one node, whatever their doc_ids. No pairs of a bucket are listed: each member is verified against
+the bucket's least node (exact overlap of the two multisets), verified links give classes, and where a group
+of candidates still falls into several classes, all texts outside its largest class are compared with the
+whole group, in blocks of bounded size and by products of count matrices, so that no link between different
+texts is lost.
 
 Defined results: documents without words, null ones too, are copies of each other and near to nothing else;
-texts under five words are one shingle; a null doc_id takes part as the largest id; classes are named by
-their least doc_id; repeated rows share their class; an empty table gives an empty result; other columns
-are ignored by `classes` and kept by `dedup`.
+texts under five words are one shingle; a null doc_id comes after all others; classes are named by their
+least doc_id (null if all are); repeated rows share their class, and different texts under one doc_id need
+not; an empty table gives an empty result; other columns are ignored by `classes` and kept by `dedup`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,9 @@ from .common import cut, table, word_hashes
 
 SHINGLE = 5
 LIKE = 0.8
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 48, 8
 QUERY_BLOCK, DATA_BLOCK = 256, 1024
 SLICE_WORDS = 400_000
-_LAST = (1 << 63) - 1
 _PHI = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,7 +123,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def sketch(rows: DataFrame) -> DataFrame:
-    """rows(id, h1, h2, h array<bigint>) to id, h1, h2, bands (empty for documents without words)."""
+    """rows(doc_id, h1, h2, h array<bigint>) to doc_id, h1, h2, bands (empty for documents without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, flat, offsets in _slices(batches):
@@ -132,9 +132,9 @@ def sketch(rows: DataFrame) -> DataFrame:
             some = np.diff(offsets) > 0
             flat_bands = got[some].ravel()
             ends = np.r_[0, np.cumsum(some * BANDS)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b["id"], b["h1"], b["h2"], pa.ListArray.from_arrays(ends, pa.array(flat_bands))], ["id", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h1"], b["h2"], pa.ListArray.from_arrays(ends, pa.array(flat_bands))], ["doc_id", "h1", "h2", "bands"])
 
-    return rows.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, bands array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, h1 bigint, h2 bigint, bands array<bigint>")
 
 
 def elements(rows: DataFrame) -> DataFrame:
@@ -211,12 +211,13 @@ def _rows_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return n, np.repeat(np.arange(len(n)), n), column.flatten().to_numpy(zero_copy_only=False)
 
 
-def links(texts: DataFrame, buckets: DataFrame, like: float = LIKE) -> DataFrame:
-    """Classes of the documents that have links: node, label. buckets(bucket, id): shared bands only."""
+def links(texts: Callable[[DataFrame], DataFrame], buckets: DataFrame, like: float = LIKE) -> DataFrame:
+    """Classes of the nodes that have links: node, label. buckets(bucket, id): bands of the nodes;
+    texts(ids): id and text of the nodes ids(id)."""
     hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
     pairs = cut(buckets.join(hubs, "bucket").filter("id <> hub").select("id", "hub").distinct(), "pairs")
     ids = pairs.select("id").unionByName(pairs.select(F.col("hub").alias("id"))).distinct()
-    bag = cut(elements(texts.join(ids, "id", "left_semi").select("id", word_hashes(F.col("text")).alias("h"))), "bags")
+    bag = cut(elements(texts(ids).select("id", word_hashes(F.col("text")).alias("h"))), "bags")
     one, two = bag.select("id", F.col("elems").alias("x")), bag.select(F.col("id").alias("hub"), F.col("elems").alias("y"))
     verified = pairs.join(one, "id").join(two, "hub").filter(similarity("x", "y") >= like).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     verified = cut(verified, "links")
@@ -245,34 +246,51 @@ def links(texts: DataFrame, buckets: DataFrame, like: float = LIKE) -> DataFrame
 
 
 def classes(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """docs(doc_id, text) to id (doc_id, null as the largest), h1, h2 (hash of the text) and label, the class."""
-    text = F.coalesce("text", F.lit(""))
-    texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), text.alias("text"))
-    keyed = texts.select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), word_hashes(F.col("text")).alias("h"))
-    sketched = cut(sketch(keyed), "sketch")
-    # copies: equal 128-bit hashes; a document without words has no bands
+    """docs(doc_id, text), a row each, to doc_id, h1, h2 (hashes of the text), class_id and kept: whether
+    doc_id and text are those of the class's least document."""
+    hashes = F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", *hashes)
+    sketched = cut(sketch(texts.select("doc_id", "h1", "h2", word_hashes(F.col("text")).alias("h"))), "sketch")
+    # equal texts are one node: equal 128-bit hashes, and all without words together; written once, so that
+    # the numbers of the nodes stay what they are
     blank = F.size("bands") == 0
-    keys = sketched.select("id", F.when(blank, 0).otherwise(F.col("h1")).alias("h1"), F.when(blank, 0).otherwise(F.col("h2")).alias("h2"), "bands")
-    first = keys.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
-    first = cut(first, "first")
-    buckets = first.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
-    found = links(texts, buckets, like)
-    named = first.select("h1", "h2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("label", "rep").alias("label"))
-    return keys.select("id", "h1", "h2").join(named, ["h1", "h2"])
+    keys = sketched.select("doc_id", "h1", "h2", F.when(~blank, F.col("h1")).alias("k1"), F.when(~blank, F.col("h2")).alias("k2"), "bands")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")).alias("least")
+    first = keys.groupBy("k1", "k2").agg(least, F.any_value("bands").alias("bands"))
+    first = cut(first.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    def text_of(ids: DataFrame) -> DataFrame:
+        wanted = first.join(ids.withColumnRenamed("id", "node"), "node", "left_semi").select("k1", "k2", "node", F.col("least.doc_id").alias("least_id"))
+        held = texts.join(wanted, (texts["h1"] == wanted["k1"]) & (texts["h2"] == wanted["k2"]) & texts["doc_id"].eqNullSafe(wanted["least_id"]))
+        return held.groupBy(F.col("node").alias("id")).agg(F.any_value("text").alias("text"))
+
+    buckets = first.select(F.col("node").alias("id"), F.explode("bands").alias("bucket"))
+    found = links(text_of, buckets, like)
+    labelled = first.join(found, "node", "left").select("k1", "k2", "least", F.coalesce("label", "node").alias("label"))
+    names = labelled.groupBy("label").agg(F.min("least").alias("name"))
+    named = labelled.join(names, "label").select("k1", "k2", "name")
+    got = keys.drop("bands").join(named, keys["k1"].eqNullSafe(named["k1"]) & keys["k2"].eqNullSafe(named["k2"]))
+    kept = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2") == F.col("name")
+    return got.select("doc_id", "h1", "h2", F.col("name.doc_id").alias("class_id"), F.coalesce(kept, F.lit(False)).alias("kept"))
 
 
 def op6_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of all documents; one document of each class, the least, is kept."""
     got = classes(table(spark, sf_dir, "documents", "doc_id", "text"))
-    name = lambda c: F.when(F.col(c) != _LAST, F.col(c))
-    return got.select(name("id").alias("doc_id"), name("label").alias("class_id"), (F.col("id") == F.col("label")).cast("int").alias("keep"))
+    return got.select("doc_id", "class_id", F.col("kept").cast("int").alias("keep"))
 
 
 def dedup(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """docs without all but the least document of each class; of rows that repeat one doc_id all stay that
-    have the class's name."""
-    kept = classes(docs, like).filter("id = label").select(F.col("id").alias("kept__")).distinct()
-    return docs.join(kept, F.coalesce(docs["doc_id"], F.lit(_LAST)) == F.col("kept__"), "left_semi")
+    """docs without all but the least document of each class (ties of doc_id: of least hash of the text). Of
+    rows that repeat both doc_id and text one stays."""
+    hashes = {"h1__": F.xxhash64(F.coalesce("text", F.lit(""))), "h2__": F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))}
+    got = cut(classes(docs, like).filter("kept").groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n")), "kept")
+    kept = got.select(F.col("doc_id").alias("kept__"), F.col("h1").alias("k1__"), F.col("h2").alias("k2__"))
+    rows = docs.withColumns(hashes)
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(F.col("kept__")) & (F.col("h1__") == F.col("k1__")) & (F.col("h2__") == F.col("k2__")), "left_semi")
+    if not got.filter("n > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id", "h1__", "h2__"])
+    return rows.drop(*hashes)
 
 
 SQL: dict[str, str] = {}

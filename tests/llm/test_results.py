@@ -112,7 +112,7 @@ def test_a_chain_without_the_hub_keeps_its_links(spark):
             w[p] = f"x{k}-{p}"
         texts.append(" ".join(w))
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r["id"]: r["label"] for r in minhash.classes(df).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(df).collect()}
     sets = [set(zip(*(t.split()[j:] for j in range(5)), strict=False)) for t in texts]
     for i in range(40):
         for j in range(i):
@@ -120,6 +120,32 @@ def test_a_chain_without_the_hub_keeps_its_links(spark):
                 assert got[i] == got[j]
 
 
+def test_dedup_keeps_unlike_texts_of_one_id(spark):
+    rows = [
+        (3, "a b c d e f g h i j", 1), (7, "a b c d e f g h i j k", 2), (7, "quite another text it is", 3), (None, "x y z u v w", 4), (None, "m n o p q r", 5),
+        (2**63 - 1, "x y z u v w", 6), (3, "a b c d e f g h i j", 7), (8, None, 8), (9, " ", 9),
+    ]
+    got = minhash.dedup(spark.createDataFrame(rows, "doc_id long, text string, h1 int")).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in got if r["text"]) == [
+        (-1, "m n o p q r"), (3, "a b c d e f g h i j"), (7, "quite another text it is"), (2**63 - 1, "x y z u v w")
+    ]
+    assert [(r["doc_id"], r["h1"]) for r in got if not r["text"]] == [(8, 8)]
+
+
+def test_band_recall_at_the_threshold():
+    """Pairs of similarity 0.8 share a band nearly always, dissimilar ones hardly ever."""
+    rng = np.random.default_rng(5)
+    met, far = 0, 0
+    for _ in range(60):
+        x = rng.integers(0, 2**63, 400).astype(np.uint64)
+        for common, n in ((320, 360), (100, 300)):
+            a, b = x[:n], np.r_[x[:common], x[360:][: n - common]] if n == 360 else np.r_[x[:common], rng.integers(0, 2**63, n - common).astype(np.uint64)]
+            s = minhash.signatures(np.r_[np.zeros(len(a), int), np.ones(len(b), int)], np.r_[a, b], np.ones(len(a) + len(b), np.int64), 2)
+            shared = (minhash.bands(s)[0] == minhash.bands(s)[1]).any()
+            met, far = met + (shared and n == 360), far + (shared and n == 300)
+    assert met >= 59 and far <= 3
+
+
 def test_fingerprints(spark, docs):
     got = registry.QUERIES["op4_weighted_samples"](spark, DATA).toPandas().set_index("doc_id")
     down = docs[::-1].reset_index(drop=True)
@@ -185,4 +211,3 @@ def test_routes_are_sufficient():
         s = x @ x[i]
         s[i] = -np.inf
         assert all((cell[i], cell[j]) in pairs for j in np.argsort(-s)[:5])
-    assert fingerprints.SAMPLES == 16
