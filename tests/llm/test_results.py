@@ -197,17 +197,45 @@ def test_quality_keeps_the_good(spark):
     assert got[got.quality == 1].keep.mean() > 0.97 and got[got.quality == 0].keep.mean() < 0.1
 
 
-def test_routes_are_sufficient():
+def _brute_top(rows, k):
+    out = {}
+    for q in sorted({i for i, _ in rows if i % 50 == 0}):
+        v = min(v for i, v in rows if i == q)
+        ranked = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)
+        out[q] = [(i, -s) for s, i in ranked[:k]]
+    return out
+
+
+@pytest.mark.parametrize("big", [60, 2**30])
+def test_top_k_against_brute_force(spark, big):
+    """Clusters, repeated rows and ids, ties, and components whose products leave exact doubles."""
+    rng = np.random.default_rng(big % 97)
+    centres = rng.integers(-big, big, (6, 5))
+    rows = [(int(i), [int(c) for c in centres[i % 6] + rng.integers(-3, 4, 5)]) for i in range(700)]
+    rows += [(50, rows[50][1]), (50, rows[51][1]), (100, rows[100][1]), (7, rows[7][1]), (7, rows[7][1])]
+    df = spark.createDataFrame([(i, v, i % 50 == 0) for i, v in rows], "vec_id long, v array<long>, is_query boolean")
+    got = collections.defaultdict(list)
+    for r in sorted(knn.top_k(df, 4, rows_per_pivot=40).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got == _brute_top(rows, 4)
+
+
+def test_vectors_go_where_they_are_needed_only():
+    """In clustered vectors a group needs few vectors, and always the true answers."""
     rng = np.random.default_rng(1)
-    x = rng.integers(-50, 50, (400, 4)).astype(float)
-    pivots = x[:12]
+    centres = rng.normal(0, 100, (40, 16))
+    x = np.round(centres[np.arange(2000) % 40] + rng.normal(0, 2, (2000, 16)))
+    pivots = x[:40]
     cell = ((x[:, None] - pivots) ** 2).sum(2).argmin(1)
     far = np.sqrt(((x - pivots[cell]) ** 2).sum(1))
-    data = {c: ((cell == c).sum(), far[cell == c].max()) for c in set(cell)}
-    q = np.arange(0, 400, 9)
-    queries = {c: ((cell[q] == c).sum(), far[q][cell[q] == c].max()) for c in set(cell[q])}
-    pairs = set(knn.routes(pivots, data, queries, 5))
-    for i in q:
-        s = x @ x[i]
-        s[i] = -np.inf
-        assert all((cell[i], cell[j]) in pairs for j in np.argsort(-s)[:5])
+    groups = []
+    for c in sorted(set(cell)):
+        q = np.flatnonzero(cell == c)[::7]
+        own = np.sort(x[q] @ x[cell == c].T, 1)[:, -5].min()
+        groups.append((c, far[q].max(), np.sqrt((x[q] ** 2).sum(1)).max(), own, len(groups)))
+    row, g = knn.Needs(groups, pivots).of(x)
+    assert len(row) < 3 * len(x)
+    sent = set(zip(row.tolist(), g.tolist(), strict=True))
+    for c, *_, group in groups:
+        for q in np.flatnonzero(cell == c)[::7]:
+            assert all((j, group) in sent for j in np.argsort(-(x @ x[q]))[:5].tolist())
