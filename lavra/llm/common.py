@@ -20,19 +20,27 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is
-    unset (tests on one machine), a new temporary folder that becomes it."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset and
+    all runs on one machine (tests), a new temporary folder that becomes it."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     now = sc.getCheckpointDir()
+    if not now and not sc.master.startswith("local"):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     if not now:
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lavra-')}")
         now = sc.getCheckpointDir()
     return now.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on whatever store Spark reads it from."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/lavra-{what}-{uuid.uuid4().hex}"
 

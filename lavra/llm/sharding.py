@@ -2,7 +2,8 @@
 
 A record's slot is a hash of its key and never changes. Bytes are added up per slot; a slot-to-shard map,
 stored as a versioned table, is filled by giving the largest slots to the lightest shard. When shards are
-added or loads drift, `rebalance` edits the map: only edited slots move.
+added or loads drift, `rebalance` edits the map: only edited slots move. A stored map is used as it is while
+it holds all slots and no shard is more than `TOLERANCE` above the mean; else its next version is stored.
 
 Everything is DataFrame code. The map has `n_slots` rows whatever the input, so that it may be broadcast.
 
@@ -18,10 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut, new_path, table
+from .common import cut, exists, new_path, table
 
 N_SLOTS = 4096
 N_SHARDS = 16
+TOLERANCE = 0.02
 
 
 def slot_of(key: Column, n_slots: int = N_SLOTS) -> Column:
@@ -81,9 +83,11 @@ def rebalance(slot_map: DataFrame, slots: DataFrame, n_shards: int) -> DataFrame
 
 
 def store(spark: SparkSession, slot_map: DataFrame, path: str) -> DataFrame:
-    """Append a version to the stored map; gives it back as read from there."""
-    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
-    return load(spark, path)
+    """Add a version to the stored map; gives it back as read from there. Each version is a folder that must
+    not exist yet, so that of two writers of one version one fails."""
+    version = slot_map.agg(F.max("version")).first()[0] or 1
+    slot_map.select("slot", "shard").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
+    return load(spark, path, version)
 
 
 def load(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -94,9 +98,23 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> DataFram
     return every.filter(F.col("version") == version)
 
 
+def current_map(per_slot: DataFrame, n_shards: int, path: str, tolerance: float = TOLERANCE) -> DataFrame:
+    """The stored map for per_slot(slot, bytes): made if there is none, edited if it has to be."""
+    spark = per_slot.sparkSession
+    if not exists(spark, path):
+        return store(spark, assign(per_slot, n_shards), path)
+    now = load(spark, path)
+    loads = {r["shard"]: r["bytes"] for r in per_slot.join(now, "slot", "left").groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()}  # shards + 1 rows
+    most = (1 + tolerance) * sum(loads.values()) / n_shards
+    if None not in loads and set(loads) <= set(range(n_shards)) and all(b <= most for b in loads.values()):
+        return now
+    return store(spark, rebalance(now, per_slot, n_shards), path)
+
+
 def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """Every row of docs(doc_id, text) with its slot, its shard and its place in the shard (from 0,
-    without gaps): doc_id, size, text_crc32, virtual_slot, shard, place."""
+    without gaps): doc_id, size, text_crc32, virtual_slot, shard, place. map_path: where the map is stored; a
+    new one is made where none is named."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     slim = cut(
@@ -112,7 +130,7 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map
         slim.groupBy(F.col("virtual_slot").alias("slot")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")),
         "slot-bytes",
     )
-    slot_map = store(spark, assign(per_slot.select("slot", "bytes"), n_shards), map_path or new_path(spark, "slot-map"))
+    slot_map = current_map(per_slot.select("slot", "bytes"), n_shards, map_path or new_path(spark, "slot-map"))
     before = Window.partitionBy("shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         per_slot.join(F.broadcast(slot_map), "slot")
