@@ -25,8 +25,11 @@ from .common import partitions, table, words
 
 SAMPLES = 32
 EMPTY = "-"
-#: Ranges of doc_id that are sorted on their own; the heads of all ranges, at most so many rows, are broadcast.
+#: Ranges of doc_id that are sorted on their own; the heads of all ranges, about so many rows at most, are broadcast.
 MOST_CELLS = 65536
+#: Ranges of equal numbers of documents that are told apart first.
+MOST_SEGMENTS = 1024
+_STRIDE = 32
 
 
 def _sample(term: Column, ln_weight: Column, k: int) -> Column:
@@ -69,30 +72,57 @@ def bag(df: DataFrame, by: list[str], text: str, samples: int = SAMPLES) -> Data
     return signatures(counted, by, samples)
 
 
+def cells(docs: DataFrame, per_cell: int) -> DataFrame:
+    """docs(doc_id, text) with `cell`, rising with doc_id, and below 0, falling with the hash of the text, for
+    rows without doc_id. Quantiles of doc_id give segments of near equal numbers of documents, each cut into
+    cells of equal width, so that far-off ids widen the cells of their own segment only."""
+    spark = docs.sparkSession
+    rows, ids = docs.agg(F.count("*"), F.count("doc_id")).first()
+    per_cell = max(per_cell, rows // MOST_CELLS)
+    n = max(1, min(MOST_SEGMENTS, ids // (4 * per_cell)))
+    steps = ", ".join(f"{i / n}D" for i in range(1, n))
+    cuts = sorted({-(2**63), *(docs.agg(F.expr(f"percentile_approx(doc_id, array({steps}), {20 * MOST_SEGMENTS})")).first()[0] if n > 1 else [])})
+    listed = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    passed = lambda xs: F.size(F.filter(xs, lambda c: c <= F.col("doc_id")))
+    stride = passed(listed(cuts[::_STRIDE]))
+    segment = F.when(F.col("doc_id").isNotNull(), (stride - 1) * _STRIDE + passed(F.slice(listed(cuts), (stride - 1) * _STRIDE + 1, F.lit(_STRIDE)))).otherwise(0)
+    placed = docs.withColumn("segment", segment.cast("int"))
+    stats = placed.groupBy("segment").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()  # MOST_SEGMENTS + 1 rows
+    listing, first = [], 0
+    for r in sorted(stats, key=lambda r: r["segment"]):
+        parts = -(-r["n"] // per_cell)
+        low = float(r["low"] or 0)
+        listing.append((r["segment"], parts, first, low, max((float(r["high"] or 0) - low) / parts, 1e-300)))
+        first += parts if r["segment"] else 0
+    plan = F.broadcast(spark.createDataFrame(listing or [(0, 1, 0, 0.0, 1.0)], "segment int, parts bigint, first bigint, low double, width double"))
+    hashed = F.xxhash64(F.coalesce("text", F.lit(""))).cast("double") / 2.0**64 + 0.5
+    share = F.when(F.col("segment") == 0, hashed * F.col("parts")).otherwise((F.col("doc_id").cast("double") - F.col("low")) / F.col("width"))
+    part = F.least(F.floor(share).cast("bigint"), F.col("parts") - 1)
+    cell = F.when(F.col("segment") == 0, -1 - part).otherwise(F.col("first") + part)
+    return placed.join(plan, "segment").select("doc_id", "text", cell.alias("cell"))
+
+
 def neighbours(docs: DataFrame, per_cell: int = 512) -> DataFrame:
     """docs(doc_id, text) with `place` in its cell, `cell`, and `next_text`, the text of the next document in
     descending doc_id (after the last: the first). `pad` rows repeat the first document of the following
-    cell, so that each cell is complete by itself; the text moves in one shuffle, by cell.
-
-    Cells are ranges of equal width of doc_id."""
+    cell, so that each cell is complete by itself; the text moves in one shuffle, by cell."""
     spark = docs.sparkSession
-    low, high, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    cells = min(MOST_CELLS, max(1, -(-rows // per_cell)))
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // cells))
-    cell = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("bigint")).cast("bigint")
-    # the greatest doc_id of each cell leads the cell that comes before it in descending order
-    heads = docs.select("doc_id", cell.alias("cell")).groupBy("cell").agg(F.max("doc_id").alias("head"))
-    down = Window.orderBy(F.col("cell").desc())  # at most MOST_CELLS + 1 rows
+    dealt = cells(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), per_cell)
+    # the first document of each cell (~ turns the order of bigints) ends the cell that comes before it
+    lead = F.struct(F.expr("~doc_id").alias("turned"), F.xxhash64("text").alias("hash"))
+    heads = dealt.groupBy("cell").agg(F.min(lead).alias("head"))
+    down = Window.orderBy(F.col("cell").desc())  # about MOST_CELLS rows at most
     last = F.min("cell").over(Window.partitionBy())
     heads = heads.withColumn("pad_to", F.coalesce(F.lag("cell").over(down), last)).select(F.col("cell").alias("head_cell"), "head", "pad_to")
-    led = docs.withColumn("cell", cell).join(F.broadcast(heads), (F.col("cell") == F.col("head_cell")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    is_head = (F.col("cell") == F.col("head_cell")) & F.expr("~doc_id").eqNullSafe(F.col("head.turned")) & (F.xxhash64("text") == F.col("head.hash"))
+    led = dealt.join(F.broadcast(heads), is_head, "left")
     places = F.array(
         F.struct(F.col("cell").alias("to"), F.lit(False).alias("pad")),
         F.when(F.col("pad_to").isNotNull(), F.struct(F.col("pad_to").alias("to"), F.lit(True).alias("pad"))),
     )
+    rows = docs.count()
     dealt = (
-        led.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.explode(F.filter(places, lambda x: x.isNotNull())).alias("p"))
+        led.select("doc_id", "text", F.explode(F.filter(places, lambda x: x.isNotNull())).alias("p"))
         .select("doc_id", "text", F.col("p.to").alias("cell"), F.col("p.pad").alias("pad"))
         .repartition(partitions(spark, rows, 2048), "cell")
     )
