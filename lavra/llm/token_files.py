@@ -219,9 +219,10 @@ def lookup(row: dict, doc_id: int | None, occurrence: int = 0) -> np.ndarray | N
     return np.frombuffer(row["payload"], "<u4", int(e["length"]), int(e["offset"]) * 4)
 
 
-def find(spark: SparkSession, path: str, doc_id: int, occurrence: int = 0) -> list[int] | None:
-    """Keyed access: only segments whose range holds the key are read."""
-    near = segments(spark, path).filter((F.col("first_key") <= doc_id) & (F.col("last_key") >= doc_id)).select("seeds", "entries", "payload")
+def find(spark: SparkSession, path: str, doc_id: int | None, occurrence: int = 0) -> list[int] | None:
+    """Keyed access: only segments whose range holds the key are read (for None those that hold a null)."""
+    within = (F.col("first_key") <= doc_id) & (F.col("last_key") >= doc_id) if doc_id is not None else F.expr("exists(sequence(1, length(nulls)), i -> substring(nulls, i, 1) = X'01')")
+    near = segments(spark, path).filter(within).select("seeds", "entries", "payload")
     for row in near.toLocalIterator():  # one segment, or the few that share an edge
         got = lookup(row.asDict(), doc_id, occurrence)
         if got is not None:
@@ -260,7 +261,9 @@ def op2_hash_indexed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, written, and read back by the index."""
     path = new_path(spark, "token-ids")
     write(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary_path(VOCABULARY), path)
-    return read(spark, path).filter("found").select("doc_id", "start", "n_tokens", "ids_crc32")
+    lost = F.raise_error(F.lit("the index lacks a document of its own segment"))
+    rows = read(spark, path).withColumn("start", F.when(F.col("found"), F.col("start")).otherwise(lost.cast("bigint")))
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 SQL: dict[str, str] = {}

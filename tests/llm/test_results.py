@@ -59,6 +59,10 @@ def test_token_files(spark, docs, tmp_path):
         start += len(ids)
     assert token_files.find(spark, path, int(docs.doc_id[7])) == [*lib.encode(docs.text[7], add_special_tokens=False).ids, 0]
     assert token_files.find(spark, path, 10**9) is None
+    nulls = spark.createDataFrame([(None, "no id"), (4, "four"), (None, "nor here")], "doc_id long, text string")
+    token_files.write(nulls, bpe.vocabulary_path(token_files.VOCABULARY), str(tmp_path / "nulls"))
+    ids = [token_files.find(spark, str(tmp_path / "nulls"), None, i) for i in (0, 1)]
+    assert sorted(ids) == sorted([*lib.encode(t, add_special_tokens=False).ids, 0] for t in ("no id", "nor here"))
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 1000])
@@ -150,7 +154,7 @@ def test_fingerprints(spark, docs):
     got = registry.QUERIES["op4_weighted_samples"](spark, DATA).toPandas().set_index("doc_id")
     down = docs[::-1].reset_index(drop=True)
     words = lambda t: collections.Counter(re.findall(r"[^\x20\x09-\x0D]+", t))
-    errors = []
+    errors, further = [], []
     for i, t in enumerate(down.text):
         nxt = down.text[(i + 1) % len(down)]
         third = len(t) // 3
@@ -158,8 +162,31 @@ def test_fingerprints(spark, docs):
         row = got.loc[down.doc_id[i]]
         assert row.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and row.n_chars == len(t)
         a, b = words(t), words(edited)
+        c = words(nxt)
         errors.append(row.near_edited - sum((a & b).values()) / max(1, sum((a | b).values())))
-    assert abs(np.mean(errors)) < 0.04 and np.std(errors) < 0.2
+        after = got.loc[down.doc_id[(i + 1) % len(down)]].fingerprint
+        assert row.near_next == pytest.approx(np.mean([row.fingerprint[j : j + 4] == after[j : j + 4] for j in range(0, len(after), 4)]))
+        further.append(row.near_next - sum((a & c).values()) / max(1, sum((a | c).values())))
+    assert abs(np.mean(errors)) < 0.04 and np.std(errors) < 0.2 and abs(np.mean(further)) < 0.04 and np.std(further) < 0.2
+
+
+def test_order_of_far_and_missing_ids(spark):
+    """Ids at both ends of bigint, one far away from all others, ties and nulls follow each other in order."""
+    rng = np.random.default_rng(2)
+    ids = [-(2**63), 2**63 - 1, 10**15, None, None, None, 7, 7, *map(int, rng.choice(3000, 400, replace=False) + 10)]
+    rows = [(i, f"text {n}") for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprints.neighbours(df, 8).filter("not pad").collect()
+    assert len(got) == len(rows)
+    follows = {r["text"]: r["next_text"] for r in got}
+    assert len(set(follows.values())) == len(rows)
+    of, text, seen = dict((t, i) for i, t in rows), next(t for i, t in rows if i == 2**63 - 1), []
+    for _ in rows:
+        seen.append(of[text])
+        text = follows[text]
+    known = [i for i in seen if i is not None]
+    assert text == "text 1" and known == sorted(known, reverse=True) and seen[len(known) :] == [None] * 3
+    assert fingerprints.cells(df, 8).groupBy("cell").count().agg({"count": "max"}).first()[0] < 60
 
 
 def test_sharding_and_rebalancing(spark):
@@ -175,6 +202,29 @@ def test_sharding_and_rebalancing(spark):
     assert load.max() < 1.1 * load.mean()
 
 
+def test_a_stored_map_is_used_and_edited(spark, tmp_path, docs):
+    source = spark.read.parquet(f"{DATA}/documents.parquet")
+    path = str(tmp_path / "map")
+    one = sharding.shard(source, 4, 64, path).toPandas()
+    again = sharding.shard(source, 4, 64, path).toPandas()
+    assert len(one) == len(again) == len(docs) and (one.sort_values("doc_id").shard.tolist() == again.sort_values("doc_id").shard.tolist())
+    grown = sharding.shard(source, 5, 64, path).toPandas()
+    assert len(grown) == len(docs) and set(grown.shard) == set(range(5)) and sharding.load(spark, path).first()["version"] == 2
+    moved = one.merge(grown, on="doc_id")
+    assert (moved.shard_y[moved.shard_x != moved.shard_y] == 4).mean() > 0.9
+    with pytest.raises(Exception, match="(?i)already exists"):
+        sharding.store(spark, sharding.load(spark, path, 1), path)
+
+
+def test_shards_row_by_row(spark, docs):
+    got = registry.QUERIES["op3_virtual_slots"](spark, DATA).toPandas().set_index("doc_id")
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        data = (t or "").encode()
+        assert (got.loc[i, "size"], got.loc[i, "text_crc32"], got.loc[i, "law"]) == (len(data) + 1, zlib.crc32(data), "bytes")
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+
+
 def test_mixing_targets(spark):
     got = registry.QUERIES["op10_weighted_mix"](spark, SMALL).toPandas()
     assert (got.taken <= 2 * got["size"]).all()
