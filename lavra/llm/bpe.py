@@ -26,11 +26,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import small_batches, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept with their ids by each worker; the table is emptied when it is full.
-MOST_WORDS = 400_000
+MOST_WORDS = 100_000
 #: Words of more symbols are merged by a heap.
 LONG = 64
 
@@ -173,12 +173,12 @@ class WordBpe:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
     def entries(self, texts: list[str]) -> Iterator[list[tuple[int, str, str]]]:
-        """For each text, what the table has of its pieces. Texts are taken in groups of some millions of
+        """For each text, what the table has of its pieces. Texts are taken in groups of about a million
         characters, so that the words at hand stay bounded."""
         at = 0
         while at < len(texts):
             to, chars = at, 0
-            while to < len(texts) and (chars == 0 or chars + len(texts[to]) < 4_000_000):
+            while to < len(texts) and (chars == 0 or chars + len(texts[to]) < 1_000_000):
                 chars += len(texts[to]) + 1
                 to += 1
             group = [self.pieces(t) for t in texts[at:to]]
@@ -197,22 +197,25 @@ class WordBpe:
         return out
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """docs with token_ids, for every whole text."""
-    from pyspark.sql.types import ArrayType, IntegerType, StructType
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """docs with token_ids, for every whole text; decoded: and with the text that these ids give back.
+    Columns of these names are replaced."""
+    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe(path)
-        for b in batches:
+        for b in small_batches(batches):
             flat, ends = [], [0]
             for got in bpe.entries([t.as_py() or "" for t in b["text"]]):
                 flat.append(np.array(" ".join([e[1] for e in got]).split(), np.int32))
                 ends.append(ends[-1] + len(flat[-1]))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, "token_ids"])
+            new = {"token_ids": ids} | ({"decoded": pa.array([bpe.decode(i.tolist()) for i in flat], pa.string())} if decoded else {})
+            yield pa.RecordBatch.from_arrays([*b.columns, *new.values()], [*b.schema.names, *new])
 
-    docs = docs.drop("token_ids")
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("token_ids", ArrayType(IntegerType())))
+    docs = docs.drop("token_ids", *(["decoded"] if decoded else []))
+    schema = StructType(list(docs.schema.fields)).add("token_ids", ArrayType(IntegerType()))
+    return docs.mapInArrow(run, schema.add("decoded", StringType()) if decoded else schema)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -221,7 +224,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe(path)
-        for b in batches:
+        for b in small_batches(batches):
             text = pa.array([bpe.decode(i.as_py() or []) for i in b["token_ids"]], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, text], [*b.schema.names, "decoded"])
 
@@ -234,7 +237,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe(path)
-        for b in batches:
+        for b in small_batches(batches):
             got = bpe.digests([t.as_py() or "" for t in b["text"]])
             cols = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -11,7 +11,7 @@ prefix-summed first, then documents within a range.
 
 Defined results: null text has size 0 and is part of its source; a null source is the last source; blank
 documents are taken with the epochs they belong to and count nothing; a null doc_id is hashed like a value;
-repeated rows are each taken on their own; an empty table gives an empty result; other columns are kept.
+repeated rows are each taken on their own; an empty table gives an empty result; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -69,8 +69,11 @@ def quality(text: Column, size: Column) -> Column:
 
 
 def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, per_range: int = 4096) -> DataFrame:
-    """docs(doc_id, source, size, quality) with source_size, target, copies (how often the mix takes the
-    document) and taken = copies * size."""
+    """docs(doc_id, source, size, quality, ...) with source_size, target, copies (how often the mix takes the
+    document) and taken = copies * size; columns of these names are replaced, all others kept."""
+    new = ["source_size", "target", "copies", "taken"]
+    docs = docs.drop(*new)
+    docs = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "size", "quality")
     key = -F.ln(uniform(seed, F.col("doc_id"), F.col("size"))) / F.col("quality")
     slim = cut(docs.withColumn("key", key), "mix")
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
@@ -100,7 +103,7 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, shar
         .withColumn("copies", F.col("epochs") + F.when((F.col("rest") > 0) & (F.col("end") - F.col("size") / 2 <= F.col("rest")), 1).otherwise(0))
         .withColumn("copies", F.least("copies", F.lit(math.floor(most)).cast("bigint")))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("s", "s_null", "range", "ranges", "range_start", "end", "epochs", "rest", "key", "source_rows")
+        .select("row.*", *new)
     )
 
 

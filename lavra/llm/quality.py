@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 DIMS = 512
 MOST_TRAINING = 20_000
@@ -176,7 +176,7 @@ def _votes_of(docs: DataFrame) -> DataFrame:
     """How often each pattern of votes occurs in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             c = Counter(tuple(votes(stats(t.as_py()))) for t in b["text"])
             yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in c], pa.list_(pa.int32())), pa.array(c.values(), pa.int64())], ["votes", "n"])
 
@@ -185,7 +185,7 @@ def _votes_of(docs: DataFrame) -> DataFrame:
 
 def _features_of(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             got = [stats(t.as_py()) for t in b["text"]]
             sparse = [hashed(s) for s in got]
             yield pa.RecordBatch.from_arrays(
@@ -223,7 +223,7 @@ def judge(docs: DataFrame, model: Classifier) -> DataFrame:
     """docs with quality_score, quality_posterior (of the label model) and keep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             got = [stats(t.as_py()) for t in b["text"]]
             z = np.array([sum(model.weights[j] * v for j, v in hashed(s).items()) for s in got], dtype=float)
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
