@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept; all but the last
 return the columns of documents. `run` writes each stage as a Parquet table in the shared folder and reads
 it again, so that a lost executor never costs more than one stage.
+
+Defined results: null and blank texts have no words and go with the first stage, as the classifier judges
+them; repeated rows are copies of each other, of which the second stage keeps one; a null doc_id takes part
+as the last one, a null source as the last source; other columns of the input are left behind; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,9 +43,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    got = bpe.encode(docs.select("doc_id", "source", "text"), bpe.vocabulary_path(bpe.VOCABULARY))
-    return got.select("doc_id", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids")
+    """Token ids of every document, and the digest of the text that they give back."""
+    got = bpe.encode(docs.select("doc_id", "source", "text"), bpe.vocabulary_path(bpe.VOCABULARY), decoded=True)
+    n_tokens, digest = F.size("token_ids").cast("bigint").alias("n_tokens"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
+    return got.select("doc_id", "source", n_tokens, "token_ids", digest)
 
 
 STAGES = [
