@@ -5,6 +5,9 @@ into a first-match-wins column, `case_sql` into the same SQL for another engine.
 
 from __future__ import annotations
 
+import operator
+import re
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -105,48 +108,100 @@ def case_sql(column: str, rules: list[Rule], default: str = "") -> str:
 
 
 def known(c: Column) -> Column:
-    return F.when(c == "", UNKNOWN).otherwise(c)
+    return F.coalesce(F.nullif(c, F.lit("")), F.lit(UNKNOWN))
+
+
+def stems(pattern: str) -> list[str]:
+    """What the alternatives of a pattern begin with, in lower case; none if one of them begins otherwise or
+    has fewer than three plain characters there."""
+    depth, alternatives = 0, [""]
+    for part in re.findall(r"\\.|.", pattern, re.S):
+        depth += (part in "([") - (part in ")]")
+        if part == "|" and depth == 0:
+            alternatives.append("")
+        else:
+            alternatives[-1] += part
+    out = []
+    for x in alternatives:
+        head = re.match(r"(?:\\b)?([A-Za-zÀ-ÿ ]*)([?*{]?)", x)
+        stem = head[1][:-1] if head[2] else head[1]
+        if len(stem) < 3:
+            return []
+        out.append(stem.lower())
+    return out
+
+
+def sees(low: Column, names: list[str]) -> Column:
+    return reduce(operator.or_, [low.contains(n) for n in names])
+
+
+def quick(low: Column, pattern: str) -> Column:
+    """`has` for a pattern that ignores case, on the lower-case text: a plain search goes before the pattern."""
+    hit = has(low, pattern.replace("AIJE", "aije").replace("AIME", "aime").replace("PCA", "pca").replace("RRC", "rrc").replace("DRAP", "drap").replace("TRE", "tre"), "")
+    return sees(low, stems(pattern)) & hit if stems(pattern) else hit
+
+
+def quick_case(text: Column, low: Column, rules: list[Rule], default: str = "") -> Column:
+    """`case` with `quick` wherever case does not matter."""
+    out = None
+    for r in rules:
+        hit = quick(low, r.match) if "i" in r.flags else sees(low, stems(r.match)) & has(text, r.match, r.flags)
+        hit = hit & ~quick(low, r.unless) if r.unless else hit
+        out = F.when(hit, r.value) if out is None else out.when(hit, r.value)
+    return out.otherwise(default)
 
 
 def classified(acts: DataFrame) -> DataFrame:
     """acts with blob, nature, voice, the fifteen values (UNKNOWN where a rule finds none), cnj, document_id
-    and printed_pages."""
-    blob, title, text = F.col("blob"), F.col("title"), F.col("text")
-    df = acts.withColumn("blob", F.concat_ws("\n", "title", "text"))
-    express, origin = labelled(blob, "Classe"), trim(first(blob, ORIGIN, 1))
-    rito = first(blob, RITO, 1)
-    tipo = first(trim(title), TIPO_TITLE)
-    subject = F.coalesce(*[F.nullif(first(blob, p), F.lit("")) for p in ASSUNTO], F.lit(""))
-    final = F.when(has(blob, FINAL[0][0]), FINAL[0][1]).when(has(blob, FINAL[1][0]), FINAL[1][1]).when(has(title, r"publica-se|extrato"), "publicar extrato").otherwise("")
-    norms = F.slice(F.array_distinct(F.transform(every(blob, NORMS), squeeze)), 1, 8)
-    values = {
-        "area": case(blob, AREA),
-        "classe": F.when(express != "", express).otherwise(case(blob, CLASSE)),
-        "subtipo": F.when(origin != "", F.concat(F.lit("originado de "), origin)).otherwise(""),
+    and printed_pages.
+
+    A null text or title counts as empty. Columns of the input that have the name of a value are replaced;
+    repeated rows are classified each; an empty table gives an empty result. Each pattern is looked for once:
+    the raw values go through an explode of one element, which keeps the optimiser from writing their
+    expressions out again wherever a value is used."""
+    new = ["blob", *LABELS, "nature", "voice", "cnj", "document_id", "printed_pages"]
+    df = acts.drop(*new).withColumn("title", F.coalesce("title", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
+    kept = df.columns
+    base = F.concat_ws("\n", "title", "text")
+    df = df.select(*kept, F.explode(F.array(F.struct(base.alias("blob"), F.lower(base).alias("low")))).alias("b")).select(*kept, "b.blob", "b.low")
+    blob, low, title, text = F.col("blob"), F.col("low"), F.col("title"), F.col("text")
+    when_seen = lambda names, c: F.when(sees(low, names), c).otherwise("")
+    label = lambda name: when_seen([name.lower()], labelled(blob, name))
+    subject = F.coalesce(*[F.nullif(when_seen(stems(p), first(blob, p)), F.lit("")) for p in ASSUNTO], F.lit(""))
+    final = F.when(quick(low, FINAL[0][0]), FINAL[0][1]).when(quick(low, FINAL[1][0]), FINAL[1][1]).when(has(title, r"publica-se|extrato"), "publicar extrato").otherwise("")
+    norms = F.when(sees(low, ["lei", "lc", "resolu"]), F.slice(F.array_distinct(F.transform(every(blob, NORMS), squeeze)), 1, 8)).otherwise(F.array().cast("array<string>"))
+    otherwise = lambda c, d: F.coalesce(F.nullif(c, F.lit("")), d)
+    origin = trim(when_seen(["originad"], first(blob, ORIGIN, 1)))
+    raw = {
+        "area": quick_case(blob, low, AREA),
+        "classe": otherwise(label("Classe"), quick_case(blob, low, CLASSE)),
+        "subtipo": F.coalesce(F.concat(F.lit("originado de "), F.nullif(origin, F.lit(""))), F.lit("")),
         "assunto": subject,
-        "rito": F.when(rito != "", rito).otherwise(labelled(blob, "Rito")),
-        "fase": case(blob, FASE),
-        "tipo": trim(F.when(tipo != "", tipo).otherwise(first(blob, TIPO_LINE, 1))),
+        "rito": otherwise(when_seen(["rito"], first(blob, RITO, 1)), label("Rito")),
+        "fase": quick_case(blob, low, FASE),
+        "tipo": trim(otherwise(first(trim(title), TIPO_TITLE), first(blob, TIPO_LINE, 1))),
         "finalidade": final,
-        "resultado": case(blob, RESULTADO),
-        "orgao": trim(first(blob, ORGAO)),
-        "grau": case(blob, GRAU),
-        "exercicio": first(blob, EXERCICIO, 1),
-        "eleicao": first(blob, ELEICAO, 1),
+        "resultado": quick_case(blob, low, RESULTADO),
+        "orgao": trim(when_seen(["zona eleitoral", "juízo da", "juizo da", "tribunal regional eleitoral"], first(blob, ORGAO))),
+        "grau": quick_case(blob, low, GRAU),
+        "exercicio": when_seen(["exerc"], first(blob, EXERCICIO, 1)),
+        "eleicao": when_seen(["elei"], first(blob, ELEICAO, 1)),
         "regime": F.array_join(norms, "; "),
+        "document": when_seen(["id"], first(text, DOCUMENT_ID, 1)),
     }
-    df = df.select("*", *[known(c).alias(k) for k, c in values.items()])
+    df = df.select(*kept, "blob", F.explode(F.array(F.struct(*[c.alias(k) for k, c in raw.items()]))).alias("raw"))
+    df = df.select(*kept, "blob", *[known(F.col("raw")[k]).alias(k) for k in raw])
     missing = (F.col("classe") == UNKNOWN) | (F.col("tipo") == UNKNOWN) | (F.col("fase") == UNKNOWN)
     own = F.array_distinct(F.flatten(F.transform(F.filter(F.split("text", "\n"), lambda x: ~has(x, CITATION)), lambda x: every(x, CNJ, 0, ""))))
     return df.select(
-        "*",
+        *kept, "blob", *[k for k in raw if k != "document"],
         F.when(missing, "pendente").otherwise("aguardando confirmação humana").alias("revisao"),
         nature(title, text).alias("nature"),
         case(F.concat(title, F.lit("\n"), F.substring(text, 1, 240)), VOICE, "não identificada").alias("voice"),
         own.alias("cnj"),
-        known(first(text, DOCUMENT_ID, 1)).alias("document_id"),
+        F.col("document").alias("document_id"),
         distinct_matches(text, PRINTED, 1).alias("printed_pages"),
-    )
+    )
 
 
 def nature(title: Column, text: Column) -> Column:
@@ -161,16 +216,73 @@ def nature(title: Column, text: Column) -> Column:
     )
 
 
+# What a value of each field is called when found, how it was found, and its evidence.
+FOUND, SUGGESTED, UNDECIDED, BY_RULE, BY_FIELD = "identificada", "sugerida", "indeterminada", "regra local", "campo expresso"
+REVIEW_EVIDENCE = "Revisão humana ainda não registrada."
+SUBJECT_EVIDENCE = r"originad[oa]\s+d[aeo]\s+[^\n.]{3,80}"
+RITO_EVIDENCE = r"rito\s+[^\n]{0,40}"
+FINAL_EVIDENCE = r"intime-se|julgo|publica-se"
+CLASS_LINE = r"Classe\s*:[^\n]+"
+
+
+def origin_of(filename: Column, pages: Column) -> Column:
+    marked = F.concat(F.lit("página "), F.array_join(F.transform(pages, lambda p: p.cast("string")), ", "))
+    return F.concat_ws(" · ", filename, F.when(F.size(pages) > 0, marked).otherwise("página não marcada"))
+
+
+def _near(text: Column, value: Column, before: int = 40, after: int = 80) -> Column:
+    """`around` for a value in place of a pattern."""
+    at = F.instr(F.lower(text), F.lower(value))
+    start = F.greatest(F.lit(1), at - before)
+    return F.when(at > 0, squeeze(F.substring(text, start, at + F.length(value) + after - start))).otherwise("")
+
+
 def evidence(df: DataFrame) -> DataFrame:
-    """classified acts with area_evidence, classe_evidence, fase_evidence, resultado_evidence, grau_evidence."""
+    """classified acts with `fields`: key, label, value, status, method, evidence and origin of each of the
+    fifteen values, in their order. filename and pages name the origin."""
     blob = F.col("blob")
+    expressed = labelled(blob, "Classe") != ""
 
-    def of(rules: list[Rule], value: str) -> Column:
+    def of(rules: list[Rule], key: str) -> Column:
         out = F.lit("")
         for r in rules:
-            out = F.when(F.col(value) == r.value, around(blob, r.evidence or r.match)).otherwise(out)
-        return F.when(out == "", NO_EVIDENCE).otherwise(out)
+            out = F.when(F.col(key) == r.value, around(blob, r.evidence or r.match)).otherwise(out)
+        return out
+
+    rito_by_rule = F.col("rito") == first(blob, RITO, 1)
+    how = {
+        "area": (FOUND, BY_RULE, around(blob, AREA_EVIDENCE)),
+        "classe": (F.when(expressed, FOUND).otherwise(SUGGESTED), F.when(expressed, BY_FIELD).otherwise(BY_RULE), F.when(expressed, around(blob, CLASS_LINE)).otherwise(of(CLASSE, "classe"))),
+        "subtipo": (SUGGESTED, BY_RULE, around(blob, SUBJECT_EVIDENCE)),
+        "assunto": (SUGGESTED, BY_RULE, _near(blob, F.col("assunto"))),
+        "rito": (SUGGESTED, F.when((F.col("rito") != UNKNOWN) & ~rito_by_rule, BY_FIELD).otherwise(BY_RULE), around(blob, RITO_EVIDENCE)),
+        "fase": (SUGGESTED, BY_RULE, of(FASE, "fase")),
+        "tipo": (FOUND, BY_FIELD, F.col("tipo")),
+        "finalidade": (SUGGESTED, BY_RULE, around(blob, FINAL_EVIDENCE)),
+        "resultado": (FOUND, F.when(F.col("resultado") == UNKNOWN, BY_RULE).otherwise(BY_FIELD), of(RESULTADO, "resultado")),
+        "orgao": (FOUND, BY_FIELD, F.col("orgao")),
+        "grau": (SUGGESTED, BY_RULE, around(blob, GRAU_EVIDENCE)),
+        "exercicio": (FOUND, BY_FIELD, first(blob, EXERCICIO)),
+        "eleicao": (FOUND, BY_FIELD, first(blob, ELEICAO)),
+        "regime": (FOUND, BY_FIELD, F.split_part("regime", F.lit("; "), F.lit(1))),
+        "revisao": (F.when(F.col("revisao") == "pendente", UNDECIDED).otherwise(SUGGESTED), BY_RULE, F.lit(REVIEW_EVIDENCE)),
+    }
+    column = lambda x: F.lit(x) if isinstance(x, str) else x
+    none = lambda key: F.col(key) == UNKNOWN
+    fields = [
+        F.struct(
+            F.lit(key).alias("key"), F.lit(LABELS[key]).alias("label"), F.col(key).alias("value"), F.when(none(key), UNDECIDED).otherwise(column(status)).alias("status"),
+            column(method).alias("method"), F.when(none(key), NO_EVIDENCE).otherwise(known_or(quote, NO_EVIDENCE)).alias("evidence"), origin_of(F.col("filename"), F.col("pages")).alias("origin"),
+        )
+        for key, (status, method, quote) in how.items()
+    ]
+    return df.drop("fields").select("*", F.explode(F.array(F.array(*fields))).alias("fields"))
+
+
+def known_or(c: Column, default: str) -> Column:
+    return F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
+
 
-    quote = lambda value, p: F.when((F.col(value) == UNKNOWN) | (around(blob, p) == ""), NO_EVIDENCE).otherwise(around(blob, p))
-    expressed = F.when(labelled(blob, "Classe") != "", around(blob, r"Classe\s*:[^\n]+")).otherwise(of(CLASSE, "classe"))
-    return df.select("*", quote("area", AREA_EVIDENCE).alias("area_evidence"), expressed.alias("classe_evidence"), of(FASE, "fase").alias("fase_evidence"), of(RESULTADO, "resultado").alias("resultado_evidence"), quote("grau", GRAU_EVIDENCE).alias("grau_evidence"))
+def field_value(fields: Column, key: str) -> Column:
+    """The value of the first field of a key; UNKNOWN if there is none."""
+    return F.coalesce(F.get(F.filter(fields, lambda x: x["key"] == key), F.lit(0))["value"], F.lit(UNKNOWN))

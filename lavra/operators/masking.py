@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lavra.functions.text import CNJ, UNKNOWN, distinct_matches, every, has, replace, trim
+from lavra.functions.text import CNJ, distinct_matches, every, has, replace, trim
 
 # Citations and the ordered replacements of a paragraph (pattern, text, flags).
 CITATION = r"jurisprud[êe]ncia|precedente|citad[oa]s?\b|Rel\.\s"
@@ -29,6 +29,7 @@ PRESERVED = {
     "processos": (CNJ, ""),
     "assinaturas": (r"(?:[Aa]ssinado[^\n]{0,80}|Documento assinado digitalmente[^\n]{0,40})", ""),
 }
+NO_MARK, RISK_COLUMNS, RISK_TABLE, RISK_ILLEGIBLE = "texto sem página", ": possível leitura em colunas", ": tabela com colunas irregulares", ": trecho com caracteres ilegíveis"
 AMBIGUOUS = r"providencie-se o necess[áa]rio|tome-se as provid[êe]ncias cab[íi]veis"
 
 
@@ -81,13 +82,21 @@ def quality_pages(slices: DataFrame) -> DataFrame:
 
 
 def quality_docs(slices: DataFrame) -> DataFrame:
-    """One report for each document: pages_processed (null without page marks), empty_pages, risks and integral."""
-    q = quality_pages(slices)
+    """One report for each document: pages_processed (null without page marks), empty_pages, risks, damaged
+    tables, illegible places, needs_ocr and integral. columns_detected and likely_scan may come with the
+    slices; missing or null they are false. Slices without page mark are told as such."""
+    for flag in ("columns_detected", "likely_scan"):
+        slices = slices if flag in slices.columns else slices.withColumn(flag, F.lit(False))
+    q = quality_pages(slices).withColumn("columns", F.col("columns") | F.coalesce("columns_detected", F.lit(False)))
     page = lambda flag: F.array_sort(F.collect_list(F.when(F.col(flag), F.col("page"))))
-    marked = F.bool_or(F.col("page").isNotNull())
+    where = F.when(F.col("page").isNull(), NO_MARK).otherwise(F.concat(F.lit("página "), F.col("page").cast("string")))
+    told = lambda flag, text: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(flag), F.struct("slice_ord", where.alias("w"))))), lambda x: F.concat(x["w"], F.lit(text))))
+    marked, scan = F.bool_or(F.col("page").isNotNull()), F.bool_or(F.coalesce("likely_scan", F.lit(False)))
     return q.groupBy("doc_id").agg(
-        F.when(marked, F.count("*")).alias("pages_processed"), page("empty").alias("empty_pages"), page("columns").alias("column_pages"), page("damaged").alias("damaged_pages"),
-        page("illegible").alias("illegible_pages"), (marked & ~F.bool_or("empty") & ~F.bool_or("illegible")).alias("integral"),
+        F.when(marked, F.count("*")).alias("pages_processed"), page("empty").alias("empty_pages"), told("columns", RISK_COLUMNS).alias("risks"),
+        told("damaged", RISK_TABLE).alias("damaged_tables"), told("illegible", RISK_ILLEGIBLE).alias("illegible_places"),
+        F.when(scan, F.array_sort(F.collect_list("page"))).otherwise(page("empty")).alias("needs_ocr"),
+        (marked & ~F.bool_or("empty") & ~F.bool_or("illegible") & ~scan).alias("integral"),
     )
 
 
@@ -106,21 +115,3 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", "at", trim(F.col("line")).alias("line")).filter(F.length("line") > 40)
     counted = rows.groupBy("doc_id", "line").agg(F.count("*").alias("n"), F.min("at").alias("at")).filter("n >= 3")
     return counted.groupBy("doc_id").agg(F.min_by(F.struct("line", "n"), "at").alias("x")).select("doc_id", "x.line", "x.n")
-
-
-def improvements(acts: DataFrame) -> DataFrame:
-    """classified acts to one row for each finding, numbered m1, m2, ... in order: act_id, item, kind, problem, priority."""
-    text = F.col("text")
-    item = lambda hit, kind, problem, priority: F.when(hit, F.struct(F.lit(kind).alias("kind"), F.lit(problem).alias("problem"), F.lit(priority).alias("priority")))
-    lines = F.filter(F.transform(F.split(text, "\n"), trim), lambda x: F.length(x) > 40)
-    found = F.array(
-        item(long_paragraph(text).isNotNull(), "editorial", "Parágrafo longo", "média"),
-        item(F.exists(F.array_distinct(lines), lambda x: F.size(F.filter(lines, lambda y: y == x)) >= 3), "editorial", "Repetição", "baixa"),
-        item(has(text, AMBIGUOUS), "editorial", "Comando ambíguo", "alta"),
-        item(has(text, "julgo procedente") & has(text, "julgo improcedente"), "editorial", "Dispositivo contraditório", "alta"),
-        item(has(mask(text), CNJ, ""), "editorial", "Processo concreto ainda no modelo", "alta"),
-        item(F.col("nature") == "extrato", "jurídica", "Extrato tratado como decisão", "alta"),
-        item(F.col("classe") == UNKNOWN, "jurídica", "Classe sem apoio no texto", "alta"),
-        item(F.lit(True), "jurídica", "Adequação normativa", "alta"),
-    )
-    return acts.select("act_id", F.posexplode(F.filter(found, lambda x: x.isNotNull())).alias("at", "x")).select("act_id", F.format_string("m%d", F.col("at") + 1).alias("item"), "x.*")

@@ -103,7 +103,7 @@ def merged(acts: DataFrame) -> DataFrame:
     nxt = Window.partitionBy("doc_id").orderBy("ord")
     follow = lambda c: F.lead(c).over(nxt)
     rows = acts.select("act_id", "text", "pages", "cnj", follow("text").alias("t2"), follow("pages").alias("p2"), follow("cnj").alias("c2")).filter("t2 is not null")
-    warn = (F.size("cnj") > 0) & (F.size("c2") > 0) & (F.size(F.array_except("c2", "cnj")) > 0)
+    warn = (F.size("cnj") > 0) & (F.size("c2") > 0) & (F.size(F.array_except("cnj", "c2")) > 0)
     return rows.select("act_id", F.concat_ws("\n\n", "text", "t2").alias("text"), F.array_sort(F.array_union("pages", "p2")).alias("pages"), warn.alias("warning"))
 
 
@@ -116,3 +116,49 @@ def weighted_median(rows: DataFrame, by: str, value: str, weight: str) -> DataFr
     up = Window.partitionBy(by).orderBy(value)
     run = sums.select(by, value, F.sum("w").over(up).alias("run"), F.sum("w").over(Window.partitionBy(by)).alias("total"))
     return run.filter(F.col("run") >= F.col("total") / 2).groupBy(by).agg(F.min(value).alias("median"))
+
+
+def list_filter(acts: DataFrame, query: str = "", classe: str = "", rito: str = "") -> DataFrame:
+    """classified acts whose title and text hold the query (trimmed, case aside, accents not) and whose classe and
+    rito are those named; what is empty asks for nothing."""
+    needle = query.strip().lower()
+    out = acts.filter(F.lower("blob").contains(needle)) if needle else acts
+    for key, value in (("classe", classe), ("rito", rito)):
+        out = out.filter(F.col(key) == value) if value else out
+    return out
+
+
+def by_class(acts: DataFrame) -> DataFrame:
+    """classe, n and act_ids in the order of the archive. Ids only: of a classe with very many acts use `menu`."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "ord", "act_id"))), lambda x: x["act_id"])
+    return acts.groupBy("classe").agg(F.count("*").cast("int").alias("n"), ids.alias("act_ids"))
+
+
+def menu(acts: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column with their place in order of first occurrence."""
+    from pyspark.sql import Window
+
+    seen = acts.groupBy(F.col(column).alias("value")).agg(F.min(F.struct("doc_id", "ord")).alias("at"))
+    return seen.select("value", F.row_number().over(Window.orderBy("at")).alias("place"))  # a row for each value
+
+
+def process_search(index: DataFrame, query: str, most: int = 12) -> DataFrame:
+    """The first process numbers of an index (cnj, pages) that hold the query, by first page, then number; none
+    for a query of fewer than three characters."""
+    needle = fold_text(query)
+    rows = index.select("cnj", F.get("pages", F.lit(0)).alias("first_page"))
+    return rows.filter(F.lower("cnj").contains(needle)).orderBy("first_page", "cnj").limit(most) if len(needle) >= 3 else rows.limit(0)
+
+
+def focus(docs: DataFrame, text: str, number: str) -> DataFrame:
+    """docs that hold the number, with what stands before its first occurrence, the match, and what follows."""
+    at = F.instr(F.col(text), number)
+    found = docs.drop("before", "match", "after").filter(F.col(text).contains(number))
+    return found.select("*", F.substring(text, F.lit(1), at - 1).alias("before"), F.lit(number).alias("match"), F.substring(text, at + len(number), F.length(text)).alias("after"))
+
+
+def convert_stats(slices: DataFrame) -> DataFrame:
+    """page_slices to doc_id, pages, chars, headings and likely_scan (fewer than 20 characters a page)."""
+    headings = F.sum(F.regexp_count("text", F.lit(r"(?m)^#{1,6} "))).alias("headings")
+    counted = slices.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars"), headings)
+    return counted.withColumn("likely_scan", F.col("chars") / F.col("pages") < 20)

@@ -98,11 +98,6 @@ _start = f"length(trim(line)) BETWEEN 1 AND 80 AND len(regexp_split_to_array(tri
 on_lines("doc_start_lines", G.is_start, _start)
 on_lines("process_header_lines", G.is_process, f"NOT {_m(G.CITATION, 'line')} AND {_m(G.PROCESS, 'line')} AND regexp_matches(line, '{T.CNJ}')")
 on_lines("citation_lines", lambda c: T.has(c, G.CITATION), _m(G.CITATION, "line"))
-register(
-    "list_filter",
-    lambda s, d: classified(s, d).filter(F.lower(F.col("blob")).contains("campanha") & (F.col("classe") == "prestação de contas eleitorais")).select("act_id"),
-    f"{archive.ACTS_SQL} SELECT act_id FROM a WHERE contains(lower(blob), 'campanha') AND {C.case_sql('blob', C.CLASSE)} = 'prestação de contas eleitorais' AND {_label('Classe')} = ''",
-)
 
 # ---- classification
 _classe = f"CASE WHEN {_label('Classe')} <> '' THEN {_label('Classe')} ELSE {C.case_sql('blob', C.CLASSE)} END"
@@ -136,11 +131,6 @@ on_acts("own_cnjs", lambda: {"cnj": F.array_join("cnj", " ")}, "own_cnj AS cnj")
 on_acts("document_id", lambda: {"document_id": F.col("document_id")}, f"{_known(_x(C.DOCUMENT_ID, 1, 'text'))} AS document_id")
 _printed = f"regexp_extract_all(text, '(?i){C.PRINTED}', 1)"
 on_acts("printed_pages", lambda: {"printed": F.array_join("printed_pages", " ")}, f"array_to_string({_distinct(_printed)}, ' ') AS printed")
-register(
-    "evidence_quote",
-    lambda s, d: C.evidence(classified(s, d)).filter(F.col("fase") != U).select("act_id", F.length("fase_evidence").alias("chars"), F.col("fase_evidence").alias("quote")),
-    None,
-)
 on_acts("labels_short", lambda: {"short": S.short_class(F.col("classe")), "label": S.pages_label(F.col("pages"))},
         f"CASE WHEN contains({_known(_classe)}, 'anual') THEN 'Contas anuais' WHEN contains({_known(_classe)}, 'eleitorais') THEN 'Contas eleitorais' WHEN {_classe} = 'representação' THEN 'Representações' WHEN coalesce({_classe}, '') = '' THEN 'A classificar' ELSE {_classe} END AS short, 'Página ' || page AS label")
 register(
@@ -148,13 +138,6 @@ register(
     lambda s, d: classified(s, d).groupBy("classe", "fase").agg(F.count("*").alias("n")),
     f"{archive.ACTS_SQL} SELECT {_known(_classe)} AS classe, {_known(_fase)} AS fase, count(*) AS n FROM a GROUP BY 1, 2",
 )
-register(
-    "acts_by_class",
-    lambda s, d: classified(s, d).groupBy("classe").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "ord"))["doc_id"].alias("first_doc")),
-    f"{archive.ACTS_SQL} SELECT {_known(_classe)} AS classe, count(*) AS n, min(doc_id) AS first_doc FROM a GROUP BY 1",
-)
-register("distinct_classes", lambda s, d: classified(s, d).select("classe", "rito").distinct(), f"{archive.ACTS_SQL} SELECT DISTINCT {_known(_classe)} AS classe, {_known(_rito)} AS rito FROM a")
-register("pending_count", lambda s, d: classified(s, d).agg(F.count_if(F.col("revisao") == "pendente").alias("pending")), f"{archive.ACTS_SQL} SELECT count(*) FILTER ({_missing}) AS pending FROM a")
 
 # ---- masking, quality, findings
 _par = "x"
@@ -167,11 +150,6 @@ register(
     lambda s, d: acts(s, d).select("act_id", F.array_join(M.placeholders(M.mask(F.col("text"))), " ").alias("tokens")),
     f"{archive.ACTS_SQL}, t AS (SELECT act_id, regexp_extract_all({_mask}, '{M.PLACEHOLDER}') AS xs FROM a) SELECT act_id, array_to_string({_distinct('xs')}, ' ') AS tokens FROM t",
 )
-register(
-    "quality_docs",
-    lambda s, d: M.quality_docs(G.page_slices(archive.documents(s, d))).select("doc_id", "pages_processed", F.size("empty_pages").alias("empty"), "integral"),
-    f"{archive.ACTS_SQL} SELECT doc_id, count(*) AS pages_processed, 0 AS empty, true AS integral FROM a GROUP BY doc_id",
-)
 register(
     "illegible_ratio",
     lambda s, d: documents(s, d).select("doc_id", M.illegible(F.col("text")).alias("illegible"), F.length(F.regexp_replace("text", r"[^\p{L}]", "")).alias("letters")),
@@ -190,21 +168,6 @@ register(
     lambda s, d: M.repeated_lines(documents(s, d)).select("doc_id", F.md5(F.col("line").cast("binary")).alias("digest"), "n"),
     r"WITH l AS (SELECT doc_id, i, regexp_replace(xs[i], '^\s+|\s+$', '', 'g') AS line FROM (SELECT doc_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS xs FROM documents))), c AS (SELECT doc_id, line, count(*) AS n, min(i) AS i FROM l WHERE length(line) > 40 GROUP BY 1, 2 HAVING count(*) >= 3) SELECT doc_id, md5(arg_min(line, i)) AS digest, arg_min(n, i) AS n FROM c GROUP BY 1",
 )
-_findings = [
-    ("editorial", "Comando ambíguo", "alta", _m(M.AMBIGUOUS, "text")), ("editorial", "Processo concreto ainda no modelo", "alta", f"regexp_matches({_mask}, '{T.CNJ}')"),
-    ("jurídica", "Extrato tratado como decisão", "alta", f"{_nature} = 'extrato'"), ("jurídica", "Classe sem apoio no texto", "alta", f"coalesce({_classe}, '') = ''"), ("jurídica", "Adequação normativa", "alta", "true"),
-]
-_listed = "list_filter([" + ", ".join(f"CASE WHEN {hit} THEN {{'kind': '{k}', 'problem': '{p}', 'priority': '{pr}'}} END" for k, p, pr, hit in _findings) + "], lambda x: x IS NOT NULL)"
-register(
-    "improvement_rows",
-    lambda s, d: M.improvements(classified(s, d)),
-    f"{archive.ACTS_SQL}, f AS (SELECT act_id, {_listed} AS xs FROM a), g AS (SELECT act_id, xs, unnest(range(1, len(xs) + 1)) AS i FROM f) SELECT act_id, 'm' || i AS item, xs[i].kind AS kind, xs[i].problem AS problem, xs[i].priority AS priority FROM g",
-)
-register(
-    "improvements_by_kind",
-    lambda s, d: M.improvements(classified(s, d)).groupBy("kind").agg(F.count("*").alias("n")),
-    f"{archive.ACTS_SQL}, f AS (SELECT {_listed} AS xs FROM a) SELECT x.kind AS kind, count(*) AS n FROM (SELECT unnest(xs) AS x FROM f) GROUP BY 1",
-)
 
 # ---- linking
 _tokens = r"list_distinct(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: length(x) > 4))"
@@ -243,11 +206,6 @@ register(
     lambda s, d: S.page_search(documents(s, d).select(F.col("doc_id").alias("page"), "text"), "Ción").select("page"),
     "SELECT doc_id AS page FROM documents WHERE contains(lower(strip_accents(text)), 'cion') ORDER BY doc_id LIMIT 24",
 )
-register(
-    "search_snippet",
-    lambda s, d: documents(s, d).select("doc_id", S.snippet(F.col("text"), "cion").alias("snippet")),
-    None,
-)
 register(
     "cnj_inverted_index",
     lambda s, d: S.inverted_index(G.page_slices(archive.documents(s, d)).select("page", "text")).select("cnj", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages")),
@@ -258,16 +216,6 @@ register(
     lambda s, d: S.inverted_index(G.page_slices(archive.documents(s, d)).select("page", "text")).select("cnj", F.get("pages", F.lit(0)).alias("page")),
     f"{archive.ACTS_SQL}, c AS (SELECT page, unnest(regexp_extract_all(text, '{T.CNJ}')) AS cnj FROM a) SELECT cnj, min(page) AS page FROM c GROUP BY 1",
 )
-register(
-    "cnj_search",
-    lambda s, d: S.inverted_index(G.page_slices(archive.documents(s, d)).select("page", "text")).filter(F.col("cnj").contains(".6.14.0001")).orderBy("cnj").limit(12).select("cnj"),
-    f"{archive.ACTS_SQL}, c AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{T.CNJ}')) AS cnj FROM a) SELECT cnj FROM c WHERE contains(cnj, '.6.14.0001') ORDER BY cnj LIMIT 12",
-)
-register(
-    "convert_stats",
-    lambda s, d: G.page_slices(archive.documents(s, d)).groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars")).withColumn("scan", F.col("chars") / F.col("pages") < 20),
-    f"{archive.ACTS_SQL} SELECT doc_id, count(*) AS pages, sum(length(text))::BIGINT AS chars, sum(length(text)) / count(*) < 20 AS scan FROM a GROUP BY 1",
-)
 _fold1 = lambda x: f"regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({x})), '[\\[\\]]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
 _slug = lambda x: f"CASE WHEN {_fold1(x)} IN ('', 'nao-identificado') THEN 'a-classificar' ELSE substr({_fold1(x)}, 1, 60) END"
 on_acts("slug", lambda: {"slug": S.slug(F.col("classe"))}, f"{_slug(_known(_classe))} AS slug")
@@ -276,24 +224,14 @@ on_acts("export_paths", lambda: {"path": S.export_path(F.col("classe"), F.col("r
 _cell = lambda x: f"CASE WHEN regexp_matches({x}, '[\",\\n]') THEN '\"' || replace({x}, '\"', '\"\"') || '\"' ELSE {x} END"
 _cells = ["act_id", "title", _nature, _known(_classe), _known(_rito), _known(_fase), _known(_tipo), _known(_subject), _known(_x(C.EXERCICIO, 1)), _known(_x(C.ELEICAO, 1)), "'pendente'",
           "'arquivo-' || doc_id || '.md'", "page::VARCHAR", _path, "''", "''", _known(_x(C.DOCUMENT_ID, 1, "text"))]
-register("index_csv", lambda s, d: S.index_rows(S.linked(classified(s, d))), f"{archive.ACTS_SQL} SELECT act_id, {' || chr(44) || '.join(f'({_cell(f"({c})")})' for c in _cells)} AS line FROM a")
 _gap = "list_filter([" + ", ".join(f"CASE WHEN coalesce({v}, '') = '' THEN '{C.LABELS[k]}' END" for k, v in {**_fields, "exercicio": _x(C.EXERCICIO, 1), "eleicao": _x(C.ELEICAO, 1)}.items()) + "], lambda x: x IS NOT NULL)"
 register("gap_rows", lambda s, d: S.gaps(classified(s, d), {k: v for k, v in C.LABELS.items() if k != "revisao"}), f"{archive.ACTS_SQL} SELECT act_id, unnest({_gap}) AS label FROM a")
-register(
-    "index_json",
-    lambda s, d: S.linked(classified(s, d)).select("act_id", F.to_json(F.struct(F.col("act_id").alias("id"), F.col("title").alias("titulo"), "classe", "rito", "fase", "pages", "cnj", F.col("duplicate_of").alias("duplicata_de"), F.col("variants").alias("variantes"))).alias("json")),
-)
 register("crc32_text", lambda s, d: documents(s, d).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc32")))
 register(
     "backup_manifest",
     lambda s, d: archive.documents(s, d).select("doc_id", F.sha2("reading", 256).alias("sha256"), F.length("reading").alias("chars")),
     f"{archive.ACTS_SQL}, r AS (SELECT doc_id, string_agg('<!-- página ' || page || ' -->' || chr(10) || text, chr(10) || chr(10) ORDER BY ord) AS reading FROM a GROUP BY 1) SELECT doc_id, sha256(reading) AS sha256, length(reading)::INT AS chars FROM r",
 )
-register(
-    "merge_next",
-    lambda s, d: S.merged(classified(s, d)).select("act_id", F.length("text").alias("chars"), F.size("pages").alias("n_pages"), "warning"),
-    f"{archive.ACTS_SQL}, n AS (SELECT act_id, text, page, own_cnj, lead(text) OVER w AS t2, lead(page) OVER w AS p2, lead(own_cnj) OVER w AS c2 FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY ord)) SELECT act_id, (length(text) + 2 + length(t2))::INT AS chars, CASE WHEN page = p2 THEN 1 ELSE 2 END AS n_pages, own_cnj <> c2 AS warning FROM n WHERE t2 IS NOT NULL",
-)
 register(
     "weighted_median",
     lambda s, d: S.weighted_median(s.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_linenumber"), "l_suppkey", "l_partkey", "l_linenumber"),
@@ -328,46 +266,9 @@ on_rows("line_shape", "t string", [("Classe: Recurso",), ("DIÁRIO DA JUSTIÇA",
 on_rows("heading_level", "ratio double", [(1.0,), (1.28,), (1.69,), (1.7,)], lambda v: v.select("ratio", L.heading_level(F.col("ratio")).alias("level")), "SELECT ratio::DOUBLE AS ratio, CASE WHEN ratio >= 1.7 THEN 1 WHEN ratio >= 1.28 THEN 2 ELSE 3 END AS level FROM v")
 on_rows("active_text", "id int, faithful string, reading string, undone boolean", [(1, "fiel", "leitura", True), (2, "fiel", "leitura", False)],
         lambda v: v.select("id", F.when(F.col("undone"), F.col("faithful")).otherwise(F.col("reading")).alias("t")), "SELECT id, CASE WHEN undone THEN faithful ELSE reading END AS t FROM v")
-on_rows("keepable", "id string, example boolean", [("a", True), ("b", False), ("c", None)], lambda v: v.filter(~F.coalesce("example", F.lit(False))).select("id"), "SELECT id FROM v WHERE NOT coalesce(example, false)")
-on_rows("should_write", "id string, example boolean", [("a", True), ("b", False), ("c", None)],
-        lambda v: v.agg((F.coalesce(F.bool_or(~F.coalesce("example", F.lit(False))), F.lit(False)) | (F.count_if("example") == 0)).alias("write")), "SELECT count(*) FILTER (NOT coalesce(example, false)) > 0 OR count(*) FILTER (example) = 0 AS write FROM v")
-on_rows("id_collisions", "id string", [("d1",), ("d1",), ("d2",)], lambda v: v.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1"), "SELECT id, count(*) AS n FROM v GROUP BY id HAVING count(*) > 1")
 on_rows("remap_links", "doc_id string, old string", [("x", "d1-1"), ("y", "d1-1"), ("y", "d2-1"), ("y", "d3-1"), ("z", "d1-1")],
         lambda v: K.remap(v, v.sparkSession.createDataFrame([("x", "d1-1", "n1")], "doc_id string, old string, new string"), v.sparkSession.createDataFrame([("d1-1", "n1"), ("d1-1", "n2"), ("d2-1", "n3")], "old string, new string")),
         "SELECT doc_id, old, CASE WHEN doc_id = 'x' THEN 'n1' WHEN old = 'd2-1' THEN 'n3' WHEN old = 'd3-1' THEN old END AS new FROM v")
-on_rows("pending_migrations", "name string, done boolean", [("0001_a", True), ("0002_b", False), ("0003_c", False)],
-        lambda v: v.select("name").join(v.filter("done").select(F.col("name").alias("name")), "name", "left_anti").orderBy("name"), "SELECT name FROM v WHERE NOT done")
 on_rows("fill_template", "id int, t string", [(1, "Processo [PROCESSO] em [DATA]")], lambda v: v.select("id", M.fill(F.col("t"), {"[PROCESSO]": "P1", "[DATA]": " "}).alias("t")), "SELECT id, replace(t, '[PROCESSO]', 'P1') AS t FROM v")
-_ARCHIVE = [("a", "velho"), ("b", "velho"), ("c", "velho")]
-_IMPORT = [("b", "novo"), ("d", "novo")]
-for _policy in ("keep", "replace", "copy"):
-
-    def _restore(v: DataFrame, policy: str = _policy) -> DataFrame:
-        new = v.sparkSession.createDataFrame(_IMPORT, "id string, t string")
-        if policy == "keep":
-            return v.unionByName(new.join(v.select("id"), "id", "left_anti"))
-        if policy == "replace":
-            return v.join(new.select("id"), "id", "left_anti").unionByName(new)
-        clash = new.join(v.select("id"), "id", "left_semi").select(F.concat("id", F.lit("~"), F.substring(F.sha2(F.concat("id", "t"), 256), 1, 8)).alias("id"), "t")
-        return v.unionByName(new.join(v.select("id"), "id", "left_anti")).unionByName(clash)
-
-    _new = "n(id, t) AS (VALUES ('b', 'novo'), ('d', 'novo'))"
-    _sql = {
-        "keep": "SELECT * FROM v UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM v)",
-        "replace": "SELECT * FROM v WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n",
-        "copy": "SELECT * FROM v UNION ALL SELECT CASE WHEN id IN (SELECT id FROM v) THEN id || '~' || substr(sha256(id || t), 1, 8) ELSE id END, t FROM n",
-    }[_policy]
-    on_rows(f"restore_{_policy}", "id string, t string", _ARCHIVE, _restore, f", {_new} {_sql}")
-for _name, _side in (("missing_blobs", "docs without a blob"), ("orphan_blobs", "blobs without a document")):
-    _flip = _name == "orphan_blobs"
-
-    def _anti(v: DataFrame, flip: bool = _flip) -> DataFrame:
-        other = v.sparkSession.createDataFrame(_IMPORT, "id string, t string")
-        return (other if flip else v).select("id").join((v if flip else other).select("id"), "id", "left_anti")
-
-    on_rows(_name, "id string, t string", _ARCHIVE, _anti, f", {_new} " + ("SELECT id FROM n WHERE id NOT IN (SELECT id FROM v)" if _flip else "SELECT id FROM v WHERE id NOT IN (SELECT id FROM n)"))
-on_rows("blob_coalesce", "id string, given string", [("a", "novo"), ("b", None)],
-        lambda v: v.join(v.sparkSession.createDataFrame([("a", "velho"), ("b", "velho")], "id string, kept string"), "id", "left").select("id", F.coalesce("given", "kept").alias("blob")), "SELECT id, coalesce(given, 'velho') AS blob FROM v")
-on_rows("bbox_overlap", "line int, x double, y double, w double, h double", [(1, 0.0, 0.0, 10.0, 2.0), (2, 0.0, 5.0, 10.0, 2.0)],
-        lambda v: v.join(F.broadcast(v.sparkSession.createDataFrame([("u1", 5.0, 1.0, 3.0, 1.5), ("u2", 20.0, 5.0, 1.0, 1.0)], "url string, ax double, ay double, aw double, ah double")),  # the annotations of one page
-                         F.expr("ax < x + w and ax + aw > x and ay < y + h and ay + ah > y")).select("line", "url"), "SELECT line, 'u1' AS url FROM v WHERE line = 1")
+
+from lavra.plans import layout_queries, record_queries, store_queries  # noqa: E402, F401  they register theirs
