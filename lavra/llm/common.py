@@ -55,11 +55,16 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in short batches, so that what Python makes of a batch of long texts stays small."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        at = 0
+        while at < b.num_rows:
+            n = min(rows, b.num_rows - at)
+            while n > 1 and b.slice(at, n).nbytes > most_bytes:
+                n //= 2
+            yield b.slice(at, n)
+            at += n
 
 
 def words(text: Column) -> Column:

@@ -46,6 +46,24 @@ def test_word_bpe(spark, docs):
         assert own.encode(t) == ids and own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_word_bpe_in_parts_and_with_a_small_table(spark, monkeypatch):
+    """Texts cut into parts, tables that are emptied often, and texts of odd characters, as the library does them."""
+    path = bpe.vocabulary_path(bpe.VOCABULARY)
+    lib = Tokenizer.from_file(path)
+    monkeypatch.setattr(bpe, "PART", 7)
+    own = bpe.WordBpe(path, most_words=5)
+    signs = ["a", "B", "é", "\u0301", " ", "\n", "\t", "\x1c", "\x85", "\u3000", "'s", "'T", "1", "²", "🙂", "<|endoftext|>", "<|ENDOFTEXT|>", "İ", "Σ", "日", "!!", "\u200d", "ǅ"]
+    rng = np.random.default_rng(4)
+    texts = ["", " ", "\n", *("".join(rng.choice(signs, int(n))) for n in rng.integers(0, 40, 400))]
+    flat, ends = own.encode_all(texts)
+    joined = own.joined(flat, ends).to_pylist()
+    for i, t in enumerate(texts):
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert flat[ends[i] : ends[i + 1]].tolist() == ids and joined[i] == lib.decode(ids, skip_special_tokens=False)
+    rows = spark.createDataFrame([(1, [320, None, -5, 10**6, 320]), (2, None), (3, [])], "n int, token_ids array<int>")
+    assert {r["n"]: r["decoded"] for r in bpe.decode(rows, path).collect()} == {1: lib.decode([320, 320]), 2: "", 3: ""}
+
+
 def test_token_files(spark, docs, tmp_path):
     lib = Tokenizer.from_file(bpe.vocabulary_path(token_files.VOCABULARY))
     path = str(tmp_path / "ids")
