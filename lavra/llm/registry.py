@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, knn, minhash, mixing, quality, sharding, substrings, token_files, toxicity
+from . import bpe, filter_audit, fingerprints, knn, licenses, minhash, mixing, quality, sharding, source_audit, substrings, token_files, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         substrings.op8_prefix_subtrees,
         bpe.op9_numpy_bpe,
         mixing.op10_weighted_mix,
+        filter_audit.op11_filter_audit,
+        source_audit.op12_source_divergence,
+        licenses.op13_license_scan,
     )
 }
-SQL = {**knn.SQL, **mixing.SQL, **substrings.SQL}
+SQL = {**knn.SQL, **mixing.SQL, **substrings.SQL, **filter_audit.SQL, **source_audit.SQL, **licenses.SQL}

@@ -49,6 +49,8 @@ def test_odd_rows(spark, odd, name):
     if name.startswith("op1_"):
         assert set(got.query_id) == {0, 50} and got.groupby("query_id").size().max() <= 5
         assert got[got.query_id == 0].vec_id.tolist() == [1, 1, 50]
+    elif name.startswith(("op11_", "op12_")):  # reports on groups; their values on odd rows are in test_audits.py
+        assert set(got["part" if name.startswith("op11_") else "source"]) == {"", "a", "b", "c"}
     else:
         assert len(got) == len(TEXTS)
         assert sorted(got.doc_id.dropna()) == sorted(t[0] for t in TEXTS if t[0] is not None)
