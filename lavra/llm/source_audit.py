@@ -4,8 +4,8 @@ Terms are counted by (lang, source, term): each task adds up its documents in a
 entries, which it sends on and empties when full, and Spark sums what the tasks send, so that neither a frequent
 term nor a large source is one task's work. Each term that enough documents of its language hold becomes one row with the counts of its
 sources; the sizes of all sources of the language turn it into a source-indexed array of smoothed shares
-(parts per billion, whole numbers). Higher-order functions emit the contribution of each ordered pair of positions,
-and sums by (lang, position) end in one row for each pair.
+(parts per billion, whole numbers). Higher-order functions emit what each ordered pair of positions contributes,
+and map-side sums by (lang, pair) end in one row for each pair.
 
 All arithmetic is in whole numbers: decimals of 38 digits where a count is multiplied, else longs; a division that
 leaves the scale of longs raises. Only the sources of a language, never its terms, come together in one row.
@@ -115,15 +115,16 @@ def with_shares(vectors: DataFrame, langs: DataFrame) -> DataFrame:
 
 def pair_gaps(shared: DataFrame, langs: DataFrame) -> DataFrame:
     """lang, source, item, value: each ordered pair of sources of a language."""
-    ps = F.col("ps")
-    emitted = F.flatten(F.transform(ps, lambda p: F.transform(ps, lambda q: gap(p, q))))
-    each = shared.select("lang", F.transform("shares", lambda s: s["p"]).alias("ps")).select("lang", F.posexplode(emitted).alias("at", "value"))
+    # a function over the array emits the distances of one position to all; generated code squares and divides them
+    one = shared.select("lang", F.transform("shares", lambda s: s["p"]).alias("ps")).select("lang", "ps", F.posexplode("ps").alias("j", "q"))
+    emitted = one.select("lang", "j", "q", F.posexplode(F.transform("ps", lambda p: p - F.col("q"))).alias("i", "d"))
+    each = emitted.select("lang", "i", "j", _div(F.col("d") * F.col("d"), F.col("q")).alias("value"))
     n = F.size("sources")
-    none = langs.select("lang", F.explode(F.sequence(F.lit(0), n * n - 1)).alias("at"), F.lit(0).cast("bigint").alias("value"))
-    summed = each.unionByName(none).groupBy("lang", "at").agg(F.sum("value").alias("value"))
-    named = summed.join(langs.select("lang", "sources"), "lang")
-    i, j = F.floor(F.col("at") / n).cast("int"), F.col("at") % n
-    return named.filter(i != j).select("lang", F.col("sources")[i]["source"].alias("source"), F.col("sources")[j]["source"].alias("item"), "value")
+    numbers = F.sequence(F.lit(0), n - 1)
+    none = langs.select("lang", F.explode(numbers).alias("i"), "sources").select("lang", "i", F.explode(numbers).alias("j"), F.lit(0).cast("bigint").alias("value"))
+    summed = each.unionByName(none).filter(F.col("i") != F.col("j")).groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
+    name = lambda c: F.get("sources", F.col(c))["source"]
+    return summed.join(langs.select("lang", "sources"), "lang").select("lang", name("i").alias("source"), name("j").alias("item"), "value")
 
 
 def term_gaps(shared: DataFrame) -> DataFrame:
