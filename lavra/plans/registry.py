@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lavra.functions import text as T
 from lavra.operators import classify as C
+from lavra.operators import incremental as I
 from lavra.operators import layout as L
 from lavra.operators import linking as K
 from lavra.operators import masking as M
@@ -195,6 +196,24 @@ register(
 )
 register("link_variants", lambda s, d: K.variants(_rows(s, d)), f"{_PAIRS} SELECT doc_id, other AS variant_of FROM p WHERE i * 100 >= total * 72 AND (first = doc_id OR other < first)")
 
+
+def links_in_batches(s: SparkSession, d: str) -> DataFrame:
+    """Links of all documents that came in three batches, later ones with lesser ids among them."""
+    rows = documents(s, d).select("doc_id", F.lit(1).alias("ord"), F.col("doc_id").cast("string").alias("act_id"), F.col("lang").alias("classe"), F.lit("").alias("tipo"), "text")
+    parts = [rows.filter(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3)) == k) for k in (2, 0, 1)]
+    order = I.ranks(parts[0])
+    stored = I.add(parts[0], order)
+    for part in parts[1:]:
+        stored = {t: stored[t].unionByName(x) for t, x in I.add(part, order, stored).items()}
+    return I.links(stored["members"], stored["pairs"]).select("doc_id", "duplicate_of", F.size("variants").cast("bigint").alias("variants"))
+
+
+register(
+    "links_in_batches", links_in_batches,
+    f"{_PAIRS}, v AS (SELECT doc_id, count(*) AS n FROM p WHERE i * 100 >= total * 72 AND (first = doc_id OR other < first) GROUP BY 1) "
+    "SELECT t.doc_id, CASE WHEN first < t.doc_id THEN first::VARCHAR END AS duplicate_of, coalesce(n, 0) AS variants FROM t LEFT JOIN v ON t.doc_id = v.doc_id",
+)
+
 # ---- search, index, export
 register(
     "fold_text",

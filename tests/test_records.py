@@ -90,7 +90,7 @@ def test_streaming_ingest_links_new_documents_with_all(spark, tmp_path):
     docs.filter("doc_id > 4").write.mode("append").parquet(folder)
     ingest.ingest(spark, folder, store, check).awaitTermination()
     assert snapshots.read(spark, store, "acts").count() == 14
-    links = snapshots.read(spark, store, "links").filter("duplicate_of is not null").collect()
+    links = ingest.links(spark, store).filter("duplicate_of is not null").collect()
     assert {(r["doc_id"], r["duplicate_of"]) for r in links} == {(8, "1-1"), (9, "9-1")}
 
 
