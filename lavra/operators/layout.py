@@ -235,61 +235,6 @@ def cluster_lines(glyphs: DataFrame) -> DataFrame:
     return placed.select(F.explode(F.arrays_zip("gs", "at")).alias("z")).select("z.gs.g.*", F.col("z.at").alias("line"))
 
 
-def reflow(lines: DataFrame) -> DataFrame:
-    """lines(doc_id, page, line, plain) of pages with `para`, the paragraph of each line, and `joint`, what stands
-    between it and the line before: "" (a word goes on), " " or a break. Lists, headings in capitals, labelled
-    fields, starts of legal units and leaders begin a paragraph, and so does what follows a finished sentence
-    with a capital."""
-    prev = F.lag("plain").over(Window.partitionBy(*LINE_KEY).orderBy("line"))
-    t = trim(F.col("plain"))
-    apart = lambda c: list_item(trim(c)).isNotNull() | is_rubric(trim(c)) | is_field(c) | is_leader(trim(c)) | legal_unit(c)
-    ended = trim(prev).rlike(r"[.!?:;]\z") & t.rlike(r"^\p{Lu}")
-    breaks = prev.isNull() | (t == "") | (trim(prev) == "") | apart(F.col("plain")) | is_rubric(trim(prev)) | is_leader(trim(prev)) | ended
-    joint = F.when(breaks, "break").when(dehyphenate(prev, F.col("plain")), "").otherwise(" ")
-    marked = lines.withColumn("joint", joint)
-    return marked.withColumn("para", F.sum((F.col("joint") == "break").cast("int")).over(Window.partitionBy(*LINE_KEY).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-
-
-def paragraphs_of(reflowed: DataFrame) -> DataFrame:
-    """doc_id, page, para, text: the lines of each paragraph joined, hyphens of broken words gone."""
-    part = F.struct("line", "joint", trim(F.col("plain")).alias("t"))
-    ls = F.array_sort(F.collect_list(part))
-    glue = F.aggregate(ls, F.lit(""), lambda acc, x: F.when(x["joint"] == "break", x["t"]).when(x["joint"] == "", F.concat(F.regexp_replace(acc, f"{HYPHEN}\\z", ""), x["t"])).otherwise(F.concat(acc, F.lit(" "), x["t"])))
-    return reflowed.groupBy(*LINE_KEY, "para").agg(glue.alias("text"))
-
-
-def blocks(paragraphs: DataFrame) -> DataFrame:
-    """paragraphs(doc_id, page, para, text) with `kind` (heading, ol, ul, table, para) and Markdown `md`."""
-    item = list_item(F.col("text"))
-    kind = F.when(item.isNotNull(), item["kind"]).when(F.col("text").startswith("|"), "table").when(is_rubric(F.col("text")), "heading").otherwise("para")
-    body = escape_inline(F.coalesce(item["rest"], F.col("text")))
-    shown = F.when(F.col("kind") == "ol", F.concat(item["n"].cast("string"), F.lit(". "), body)).when(F.col("kind") == "ul", F.concat(F.lit("- "), body))
-    md = shown.when(F.col("kind") == "heading", F.concat(F.lit("### "), body)).when(F.col("kind") == "table", F.col("text")).otherwise(body)
-    return paragraphs.drop("kind", "md").withColumn("kind", kind).withColumn("md", md)
-
-
-def markdown(blocks: DataFrame) -> DataFrame:
-    """doc_id, page, md: the blocks of each page under its page mark, lists without blank lines between items."""
-    ls = F.array_sort(F.collect_list(F.struct("para", "kind", "md")))
-    listed = lambda k: k.isin("ol", "ul")
-    step = lambda acc, x: F.struct(F.concat(acc["md"], F.when(acc["md"] == "", "").when(listed(acc["kind"]) & listed(x["kind"]), "\n").otherwise("\n\n"), x["md"]).alias("md"), x["kind"].alias("kind"))
-    start = F.struct(F.lit("").alias("md"), F.lit("").alias("kind"))
-    banner = F.concat(F.lit("<!-- página "), F.col("page").cast("string"), F.lit(" -->\n\n"))
-    return blocks.groupBy(*LINE_KEY).agg(F.aggregate(ls, start, step, lambda a: a["md"]).alias("md")).select(*LINE_KEY, F.concat(banner, "md").alias("md"))
-
-
-def table_runs(rows: DataFrame) -> DataFrame:
-    """rows(doc_id, page, line, y, size, splits array<double>) to those in a table, with `run`: three or more rows in
-    sequence with two cells or more, splits within 16 of the row before, sizes within 28 %, and y no further
-    than 1.9 sizes apart."""
-    order = Window.partitionBy(*LINE_KEY).orderBy("line")
-    before = lambda c: F.lag(c).over(order)
-    same_grid = (F.size("splits") == F.size(before("splits"))) & F.forall(F.arrays_zip(F.col("splits").alias("a"), before("splits").alias("b")), lambda z: F.abs(z["a"] - z["b"]) <= 16)
-    goes_on = (F.size("splits") >= 1) & same_grid & (F.abs(F.col("size") - before("size")) <= 0.28 * F.greatest("size", before("size"))) & (F.col("y") - before("y") <= 1.9 * F.col("size"))
-    run = rows.withColumn("run", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    return run.withColumn("n__", F.count("*").over(Window.partitionBy(*LINE_KEY, "run"))).filter("n__ >= 3").drop("n__")
-
-
 def annotated(lines: DataFrame, annotations: DataFrame) -> DataFrame:
     """Links of lines: lines(doc_id, page, line, x, y, width, size) and annotations(doc_id, page, url, ax, ay, aw, ah)
     whose boxes overlap, each url once a line. Joined by page, so that only the boxes of one page meet."""

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lavra.functions import text as T
+from lavra.operators import blocks as K
 from lavra.operators import layout as L
 from lavra.operators import segment as G
 from lavra.plans import registry as R
@@ -103,20 +105,67 @@ register(
     lambda s, d: L.clipped_tails(tailed(s, d)),
     "WITH t AS (SELECT o_custkey AS doc_id, row_number() OVER w::INT AS page, o_orderkey AS k, lead(o_orderkey) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) SELECT doc_id, page, 2 AS line FROM t WHERE n IS NOT NULL AND k % 3 = 0".replace("row_number() OVER w::INT", "(row_number() OVER w)::INT"),
 )
-register("reflow_lines", lambda s, d: L.paragraphs_of(L.reflow(lines(s, d))).select("doc_id", "page", "para", F.sha2("text", 256).alias("digest")))
-register("lines_to_blocks", lambda s, d: L.blocks(L.paragraphs_of(L.reflow(lines(s, d)))).groupBy("kind").agg(F.count("*").alias("n")))
-register("blocks_to_md", lambda s, d: L.markdown(L.blocks(L.paragraphs_of(L.reflow(lines(s, d))))).select("doc_id", "page", F.sha2("md", 256).alias("digest")))
-_rows = "o_custkey AS doc_id, 1 AS page, o_orderkey AS k"
+
+
+def typeset(s: SparkSession, d: str) -> DataFrame:
+    """All documents set in lines of eight words, forty to a page, with hyphens, fields, items, sizes, cells and gaps here
+    and there."""
+    ws = F.col("ws")
+    each = documents(s, d).select("doc_id", F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), "").alias("ws")).filter("size(ws) > 0")
+    one = each.select("doc_id", "ws", F.explode(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / 8).cast("int"))).alias("i"))
+    i = F.col("i")
+    said = F.array_join(F.slice(ws, i * 8 + 1, F.lit(8)), " ")
+    said = F.concat(F.when(i % 11 == 5, "Classe: ").when(i % 29 == 7, F.concat((i % 10 + 1).cast("string"), F.lit(". "))).otherwise(""), said, F.when(i % 7 == 3, "-").otherwise(""))
+    split = F.array(F.lit(50.0), 150.0 + (i % 20 - 10) * (F.coalesce("doc_id", F.lit(0)) % 3) * 7, F.lit(250.0)).cast("array<double>")
+    celled = (i % 20).between(10, 14)
+    return one.select(
+        "doc_id", (F.floor(i / 40) + 1).cast("int").alias("page"), (i % 40).alias("line"), said.alias("plain"), F.lit(50.0).alias("x"), (i % 40 * 12 + F.when(i % 6 == 0, 6).otherwise(0)).cast("double").alias("y"),
+        (F.length(said) * 4).cast("double").alias("width"), F.when(i % 13 == 4, 12.0).when(i % 31 == 9, 18.0).otherwise(10.0).alias("size"), F.lit(260.0).alias("edge"),
+        F.when(i % 37 == 0, 1.0).otherwise(0.0).alias("bold_ratio"), F.when(celled, F.slice(ws, i * 8 + 1, F.lit(3))).alias("cells"), F.when(celled, split).alias("splits"),
+    )
+
+
+# The same rules as plain SQL.
+_FIELD = r"(regexp_matches(trim({0}), '^\p{{Lu}}[\p{{L}}0-9 .()ºª°/-]{{1,60}}\s*:\s+\S') AND length(regexp_extract(trim({0}), '^[^:]*:\s+(\S[^\n\r]*)$', 1)) <= 80)"
+_LETTERS = "regexp_replace({0}, '[^A-Za-zÀ-ÿ]', '', 'g')"
+_RUBRIC = f"(length({{0}}) BETWEEN 3 AND 56 AND NOT regexp_matches({{0}}, '[.!?,;:]$') AND NOT contains({{0}}, ':') AND length({_LETTERS}) >= 4 AND length(regexp_replace({_LETTERS}, '[^A-ZÁÉÍÓÚÂÊÔÃÕÇ]', '', 'g')) / length({_LETTERS}) > 0.85)"
+_ITEM = r"((regexp_matches({0}, '^\d{{1,3}}[.)]\s+\S') AND TRY_CAST(regexp_extract({0}, '^(\d{{1,3}})', 1) AS INT) <= 200) OR regexp_matches({0}, '(?i)^[a-z]\)\s+\S') OR regexp_matches({0}, '^[•·▪▸►◦‣–—]\s+\S') OR (regexp_matches({0}, '^-\s+\S') AND length({0}) <= 110))"
+_LED = r"(regexp_matches({0}, '\.{{4,}}|…{{2,}}') OR regexp_matches({0}, ' — \d{{1,4}}$'))"
+_UNIT = rf"((regexp_matches({{0}}, '{T.CNJ.replace('{', '{{').replace('}', '}}')}') AND length(trim({{0}})) < 140) OR (regexp_matches(trim({{0}}), '{L.HEADER}') AND length(trim({{0}})) < 180) OR (regexp_matches(trim({{0}}), '{L.UNIT}') AND length(trim({{0}})) < 100))"
+_SET = (
+    r"WITH RECURSIVE q AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents), u AS (SELECT doc_id, ws, unnest(range(0, (len(ws) + 7) // 8)) AS i FROM q), "
+    "t AS (SELECT doc_id, (i // 40 + 1)::INT AS page, (i % 40)::INT AS line, i, ws[i * 8 + 1:i * 8 + 3] AS cells, CASE WHEN i % 11 = 5 THEN 'Classe: ' WHEN i % 29 = 7 THEN (i % 10 + 1)::VARCHAR || '. ' ELSE '' END "
+    "|| array_to_string(ws[i * 8 + 1:i * 8 + 8], ' ') || CASE WHEN i % 7 = 3 THEN '-' ELSE '' END AS plain FROM u), "
+    f"l AS (SELECT *, 50.0 + length(plain) * 4 AS stop, i % 40 * 12 + CASE WHEN i % 6 = 0 THEN 6 ELSE 0 END AS y, CASE WHEN i % 13 = 4 THEN 12 WHEN i % 31 = 9 THEN 18 ELSE 10 END AS size, "
+    f"{_FIELD.format('plain')} AS field, {_RUBRIC.format('plain')} AS rubric, {_ITEM.format('plain')} AS item, {_LED.format('plain')} AS led, {_UNIT.format('plain')} AS unit, regexp_matches(plain, '^\\p{{Ll}}') AS lower FROM t)"
+)
+_LEFT = r"regexp_extract(regexp_replace(trim(p.plain), '[-‐‑]$', ''), '(\S*)$', 1)"
+_RIGHT = r"regexp_replace(regexp_extract(trim(l.plain), '^(\S*)', 1), '(?s)[^\p{L}].*$', '')"
+register(
+    "reflow_lines",
+    lambda s, d: K.joints(typeset(s, d)),
+    rf"""{_SET}, j AS (SELECT l.doc_id, l.page, l.line, p.plain AS before, l.y - p.y AS gap, greatest(l.size, p.size) AS big, l.size, p.size AS p_size, l.plain, l.unit, l.field, l.rubric, l.led, l.item, l.lower,
+  p.field AS p_field, p.rubric AS p_rubric, p.led AS p_led, p.stop AS stop, {_LEFT} AS a, {_RIGHT} AS b FROM l LEFT JOIN l p ON p.doc_id = l.doc_id AND p.page = l.page AND p.line = l.line - 1)
+SELECT doc_id, page, line, CASE WHEN before IS NULL OR gap > big * 1.85 OR abs(size - p_size) > big * 0.22 OR unit OR field OR (p_field AND NOT lower) OR rubric OR p_rubric OR led OR p_led OR item THEN 'break'
+  WHEN regexp_matches(before, '[-‐‑]$') AND length(a) >= 2 AND length(b) >= 2 AND NOT regexp_matches(a, '\d|[./\\]') AND NOT regexp_matches(b, '\d') AND (regexp_matches(lower(b), '{L.BROKEN}') OR length(a) < 4 OR length(b) < 4)
+    AND lower AND length(before) >= 20 AND gap < big * 1.75 THEN 'hyphen'
+  WHEN regexp_matches(plain, '^[\p{{Ll}}(“"]') AND gap < big * 1.55 THEN 'space' WHEN stop < 260 - greatest(36, p_size * 2.8) THEN 'break'
+  WHEN regexp_matches(before, '[.!?…]["'')\]]*$') AND regexp_matches(plain, '^[\p{{Lu}}\d“"]') AND gap > big * 1.25 THEN 'break' WHEN gap < big * 1.7 THEN 'space' ELSE 'break' END AS joint FROM j""",
+)
+_fits = lambda f, r, p: f"({r}.free AND abs({r}.at - {f}.at) <= 16 AND abs({r}.size - {f}.size) <= {f}.size * 0.28 AND {r}.y - {p}.y <= {r}.size * 1.9)"
 register(
     "table_runs",
-    lambda s, d: L.table_runs(
-        s.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("doc_id"), F.lit(1).alias("page"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("line"), F.col("o_orderkey").alias("k"))
-        .withColumn("y", F.col("line") * 12.0).withColumn("size", F.lit(10.0)).withColumn("splits", F.when(F.col("k") % 8 < 6, F.array(F.lit(100.0) + F.col("k") % 5)).otherwise(F.array().cast("array<double>")))
-    ).select("doc_id", "line"),
-    "WITH t AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line, o_orderkey % 8 < 6 AS cells FROM orders), "
-    "r AS (SELECT *, sum(CASE WHEN cells AND coalesce(prev, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line) AS run FROM (SELECT *, lag(cells) OVER (PARTITION BY doc_id ORDER BY line) AS prev FROM t)) "
-    "SELECT doc_id, line::INT AS line FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS n FROM r) WHERE n >= 3",
-)
+    lambda s, d: K.table_runs(typeset(s, d)),
+    rf"""{_SET}, c AS (SELECT *, 150 + (i % 20 - 10) * (coalesce(doc_id, 0) % 3) * 7 AS at, len(cells) AS n, NOT (field OR rubric OR item) AS free FROM l WHERE i % 20 BETWEEN 10 AND 14),
+o AS (SELECT c.*, coalesce(c.free AND len(list_filter(c.cells, lambda x: regexp_matches(trim(x), '^[:·]'))) = 0 AND NOT {_FIELD.format("replace(c.plain, ' · ', ' ')")} AND c.n >= 2 AND a.n = c.n AND b.n = c.n AND {_fits('c', 'a', 'c')} AND {_fits('c', 'b', 'a')}, false) AS opens
+  FROM c LEFT JOIN c a ON a.doc_id = c.doc_id AND a.i = c.i + 1 AND a.page = c.page LEFT JOIN c b ON b.doc_id = c.doc_id AND b.i = c.i + 2 AND b.page = c.page),
+s AS (SELECT doc_id, page, i, line, CASE WHEN opens THEN i END AS first FROM o WHERE i % 20 = 10
+  UNION ALL SELECT r.doc_id, r.page, r.i, r.line, CASE WHEN f.i IS NOT NULL AND r.n = f.n AND {_fits('f', 'r', 'p')} THEN f.i WHEN r.opens THEN r.i END
+  FROM s JOIN o r ON r.doc_id = s.doc_id AND r.i = s.i + 1 JOIN o p ON p.doc_id = s.doc_id AND p.i = s.i LEFT JOIN o f ON f.doc_id = s.doc_id AND f.i = s.first)
+SELECT doc_id, page, line, (first % 40)::INT AS run FROM s WHERE first IS NOT NULL""",
+)
+register("lines_to_blocks", lambda s, d: K.lines_to_blocks(typeset(s, d)).select("doc_id", "page", "block", "kind", "level", F.sha2(F.to_json(F.struct("text", "items", "rows")), 256).alias("digest")))
+register("blocks_to_md", lambda s, d: K.markdown(K.lines_to_blocks(typeset(s, d))).select("doc_id", "page", F.sha2("md", 256).alias("digest")))
 register(
     "annotated_lines",
     lambda s, d: L.annotated(lines(s, d), documents(s, d).select("doc_id", F.lit(1).alias("page"), F.concat(F.lit("https://exemplo.org/"), F.col("doc_id").cast("string")).alias("url"), F.lit(60.0).alias("ax"), (F.col("doc_id") % 30 * 20).cast("double").alias("ay"), F.lit(40.0).alias("aw"), F.lit(25.0).alias("ah"))).select("doc_id", "line", "url"),

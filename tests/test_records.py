@@ -92,11 +92,3 @@ def test_streaming_ingest_links_new_documents_with_all(spark, tmp_path):
     assert snapshots.read(spark, store, "acts").count() == 14
     links = ingest.links(spark, store).filter("duplicate_of is not null").collect()
     assert {(r["doc_id"], r["duplicate_of"]) for r in links} == {(8, "1-1"), (9, "9-1")}
-
-
-def test_reflow_and_blocks(spark):
-    rows = ["DESPACHO", "A decisão da jurisdi-", "ção eleitoral foi", "publicada hoje.", "1. primeiro item", "2. segundo item.", "Nova frase aqui."]
-    lines = spark.createDataFrame([(1, 1, i, t) for i, t in enumerate(rows)], "doc_id int, page int, line int, plain string")
-    got = L.markdown(L.blocks(L.paragraphs_of(L.reflow(lines)))).first()["md"]
-    assert got == "<!-- página 1 -->\n\n### DESPACHO\n\nA decisão da jurisdição eleitoral foi publicada hoje.\n\n1. primeiro item\n2. segundo item.\n\nNova frase aqui."
-    assert L.markdown(L.blocks(L.paragraphs_of(L.reflow(lines.limit(0))))).count() == 0
