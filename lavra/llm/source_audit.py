@@ -1,11 +1,11 @@
 """Source divergence audit: how far the word use of the sources of a language lies apart, and by which terms.
 
-Terms are counted by (lang, source, term): each task adds up its documents in a table of at most `MOST_HELD`
-entries, which it sends on and empties when full, and Spark sums what the tasks send, so that neither a frequent
-term nor a large source is one task's work. Each term that enough documents of its language hold becomes one row with the counts of its
+Terms are counted by (lang, source, term), with map-side sums, so that neither a frequent term nor a large source
+is one task's work. Each term that enough documents of its language hold becomes one row with the counts of its
 sources; the sizes of all sources of the language turn it into a source-indexed array of smoothed shares
-(parts per billion, whole numbers). Higher-order functions emit the contribution of each ordered pair of positions,
-and map-side sums by (lang, position) end in one row for each pair.
+(parts per billion, whole numbers), by higher-order functions. Each ordered pair of positions contributes a whole
+number, worked out in generated code after two explodes of that array (a higher-order function for each pair costs
+several times as much), and map-side sums by (lang, pair) end in one row for each pair.
 
 All arithmetic is in whole numbers: decimals of 38 digits where a count is multiplied, else longs; a division that
 leaves the scale of longs raises. Only the sources of a language, never its terms, come together in one row.
@@ -18,56 +18,33 @@ ignored.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut, small_batches, table
+from .common import cut, table
 
-#: Bytes of UTF-8 as terms see them: A-Z lowered, other ASCII than letters blank, the rest as it is.
-_SEEN = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b > 0x7F else 0x20 for b in range(256))
-#: Entries of a task's table, before they are sent on.
-MOST_HELD = 400_000
-_COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("n_docs", pa.int64())])
+#: What stands between terms: everything in ASCII but letters.
+BETWEEN = "[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 LEAST_DOCS = 3
 MOST_TERMS = 200
 SCALE = 1_000_000_000
 
 
-def terms(text: str) -> list[bytes]:
-    """The terms of a text, A-Z in lower case, as UTF-8."""
-    return text.encode().translate(_SEEN).split()
-
-
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, source, text to sums of occurrences and documents by lang, source and term."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
-
-    def sent() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, n_docs) in held.items():
-            each = [pa.array([lang] * len(n)), pa.array([source] * len(n)), pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(n.values()), pa.array([n_docs[t] for t in n])]
-            yield from pa.Table.from_arrays(each, schema=_COUNTED).to_batches(65536)
-        held.clear()
-
-    for b in small_batches(batches):
-        for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-            n, n_docs = held[lang, source]
-            found = terms(text)
-            n.update(found)
-            n_docs.update(set(found))
-        if sum(len(n) for n, _ in held.values()) > MOST_HELD:
-            yield from sent()
-    yield from sent()
+def terms(text: Column) -> Column:
+    """Array of the terms of a text, A-Z in lower case."""
+    lowered = F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase)
+    return F.array_remove(F.split(lowered, BETWEEN), "")
 
 
 def count_terms(docs: DataFrame) -> DataFrame:
-    """docs(lang, source, text), none null, to lang, source, term, n (occurrences), n_docs (rows that hold it)."""
-    part = docs.select("lang", "source", "text").mapInArrow(_sums, "lang string, source string, term string, n bigint, n_docs bigint")
-    return part.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+    """docs(lang, source, text) to lang, source, term, n (occurrences), n_docs (rows that hold it)."""
+    parsed = docs.select("lang", "source", terms(F.col("text")).alias("all"))
+    lists = F.array(F.struct(F.lit(0).alias("doc"), F.col("all").alias("terms")), F.struct(F.lit(1).alias("doc"), F.array_distinct("all").alias("terms")))
+    one = parsed.select("lang", "source", F.explode(lists).alias("x")).select("lang", "source", F.col("x.doc").alias("doc"), F.explode("x.terms").alias("term"))
+    return one.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("doc")).alias("n"), F.sum("doc").cast("bigint").alias("n_docs"))
 
 
 def term_vectors(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -115,15 +92,15 @@ def with_shares(vectors: DataFrame, langs: DataFrame) -> DataFrame:
 
 def pair_gaps(shared: DataFrame, langs: DataFrame) -> DataFrame:
     """lang, source, item, value: each ordered pair of sources of a language."""
-    ps = F.col("ps")
-    emitted = F.flatten(F.transform(ps, lambda p: F.transform(ps, lambda q: gap(p, q))))
-    each = shared.select("lang", F.transform("shares", lambda s: s["p"]).alias("ps")).select("lang", F.posexplode(emitted).alias("at", "value"))
+    # two explodes of one array pair its positions, so that their contribution is generated code
+    one = shared.select("lang", F.transform("shares", lambda s: s["p"]).alias("ps")).select("lang", "ps", F.posexplode("ps").alias("i", "p"))
+    each = one.select("lang", "i", "p", F.posexplode("ps").alias("j", "q")).select("lang", "i", "j", gap(F.col("p"), F.col("q")).alias("value"))
     n = F.size("sources")
-    none = langs.select("lang", F.explode(F.sequence(F.lit(0), n * n - 1)).alias("at"), F.lit(0).cast("bigint").alias("value"))
-    summed = each.unionByName(none).groupBy("lang", "at").agg(F.sum("value").alias("value"))
-    named = summed.join(langs.select("lang", "sources"), "lang")
-    i, j = F.floor(F.col("at") / n).cast("int"), F.col("at") % n
-    return named.filter(i != j).select("lang", F.col("sources")[i]["source"].alias("source"), F.col("sources")[j]["source"].alias("item"), "value")
+    numbers = F.sequence(F.lit(0), n - 1)
+    none = langs.select("lang", F.explode(numbers).alias("i"), "sources").select("lang", "i", F.explode(numbers).alias("j"), F.lit(0).cast("bigint").alias("value"))
+    summed = each.unionByName(none).filter(F.col("i") != F.col("j")).groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
+    name = lambda c: F.get("sources", F.col(c))["source"]
+    return summed.join(langs.select("lang", "sources"), "lang").select("lang", name("i").alias("source"), name("j").alias("item"), "value")
 
 
 def term_gaps(shared: DataFrame) -> DataFrame:
