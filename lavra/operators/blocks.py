@@ -130,6 +130,12 @@ def heading(body: Column) -> Column:
     )
 
 
+def headings(lines: DataFrame) -> DataFrame:
+    """doc_id, page, line, level of the lines that look like headings, tables aside."""
+    own = _flagged(lines).join(body_size(_flagged(lines)), LINE_KEY, "left")
+    return own.select(*LINE_KEY, "line", heading(F.coalesce("body", F.lit(NO_TEXT_SIZE))).alias("level")).filter("level is not null")
+
+
 def block_lines(lines: DataFrame, hyphens: bool = True, headings: bool = True, reflow: bool = True) -> DataFrame:
     """Flagged lines with kind (table, heading, ol, ul, para: of the block), block (number in the page), part (number of
     the item or row in it), level and joint."""

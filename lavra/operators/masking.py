@@ -53,6 +53,17 @@ def placeholders(text: Column) -> Column:
     return distinct_matches(text, PLACEHOLDER, 0, "")
 
 
+def fill_from(templates: DataFrame, fills: DataFrame, key: str = "act_id") -> DataFrame:
+    """templates(key, template) with the values of fills(key, token, value) put for their tokens, in order of the tokens.
+    Blank and null values leave the token; of values of one token the least counts; acts without fills keep their
+    template; fills of no act are passed over."""
+    each = fills.filter(trim(F.col("value")) != "").groupBy(key, "token").agg(F.min("value").alias("value"))
+    listed = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("token", "value"))).alias("fills__"))
+    some = F.coalesce("fills__", F.array().cast("array<struct<token:string,value:string>>"))
+    put = F.aggregate(some, F.col("template"), lambda acc, x: F.replace(acc, x["token"], x["value"]))
+    return templates.join(listed, key, "left").withColumn("template", put).drop("fills__")
+
+
 def fill(text: Column, fills: dict[str, str]) -> Column:
     """Put values for placeholders; blank values leave the token."""
     for token, value in fills.items():

@@ -164,6 +164,51 @@ s AS (SELECT doc_id, page, i, line, CASE WHEN opens THEN i END AS first FROM o W
   FROM s JOIN o r ON r.doc_id = s.doc_id AND r.i = s.i + 1 JOIN o p ON p.doc_id = s.doc_id AND p.i = s.i LEFT JOIN o f ON f.doc_id = s.doc_id AND f.i = s.first)
 SELECT doc_id, page, line, (first % 40)::INT AS run FROM s WHERE first IS NOT NULL""",
 )
+def split_lines(s: SparkSession, d: str) -> DataFrame:
+    """Set lines with the line before, on one page."""
+    return typeset(s, d).withColumn("before", F.lag("plain").over(Window.partitionBy("doc_id", "page").orderBy("line")))
+
+
+register(
+    "dehyphenate",
+    lambda s, d: split_lines(s, d).filter("before is not null").select("doc_id", "page", "line", L.dehyphenate(F.col("before"), F.col("plain")).alias("joined")),
+    rf"""{_SET}, j AS (SELECT l.*, p.plain AS before, {_LEFT} AS a, {_RIGHT} AS b FROM l JOIN l p ON p.doc_id = l.doc_id AND p.page = l.page AND p.line = l.line - 1)
+SELECT doc_id, page, line, regexp_matches(trim(before), '[-‐‑]$') AND length(a) >= 2 AND length(b) >= 2 AND NOT regexp_matches(a, '\d|[./\\]') AND NOT regexp_matches(b, '\d')
+  AND (regexp_matches(lower(b), '{L.BROKEN}') OR length(a) < 4 OR length(b) < 4) AS joined FROM j""",
+)
+register(
+    "heading_level",
+    lambda s, d: K.headings(typeset(s, d)),
+    rf"""{_SET}, w AS (SELECT doc_id, page, size, sum(length(plain)) AS n FROM l GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, page ORDER BY size) AS run, sum(n) OVER (PARTITION BY doc_id, page) AS total FROM w),
+b AS (SELECT doc_id, page, min(size) AS body FROM r WHERE run >= total / 2 GROUP BY 1, 2), h AS (SELECT l.*, size / body AS ratio, length(plain) AS n, regexp_matches(plain, '[.!?…]["'')\]]*$') AS ended FROM l JOIN b USING (doc_id, page)),
+v AS (SELECT doc_id, page, line, CASE WHEN n NOT BETWEEN 2 AND 160 OR (item AND ratio < 1.2) OR field OR led THEN NULL WHEN rubric THEN 2 WHEN n <= 140 AND (ratio >= 1.45 OR (ratio >= 1.18 AND NOT ended)) THEN CASE WHEN ratio >= 1.7 THEN 1 WHEN ratio >= 1.28 THEN 2 ELSE 3 END
+  WHEN i % 37 = 0 AND ratio >= 0.96 AND n <= 90 AND NOT regexp_matches(plain, '[.!?:,;]$') AND NOT item THEN 3 END AS level FROM h) SELECT doc_id, page, line, level::INT AS level FROM v WHERE level IS NOT NULL""",
+)
+register(
+    "list_items",
+    lambda s, d: typeset(s, d).select("doc_id", "page", "line", L.list_item(F.col("plain")).alias("i")).filter("i is not null").select("doc_id", "page", "line", "i.kind", "i.n", F.md5("i.rest").alias("digest")),
+    rf"""{_SET} SELECT doc_id, page, line, CASE WHEN ordered THEN 'ol' ELSE 'ul' END AS kind, CASE WHEN ordered THEN regexp_extract(plain, '^(\d+)', 1)::INT ELSE 0 END AS n, md5(regexp_extract(plain, '^\S+\s+(.*)$', 1)) AS digest
+FROM (SELECT *, regexp_matches(plain, '^\d{{1,3}}[.)]\s') AS ordered FROM l WHERE item)""",
+)
+register(
+    "line_shape",
+    lambda s, d: typeset(s, d).select("doc_id", "page", "line", L.is_field(F.col("plain")).alias("field"), L.is_rubric(F.col("plain")).alias("rubric"), L.is_leader(F.col("plain")).alias("leader"), L.legal_unit(F.col("plain")).alias("unit")),
+    f"{_SET} SELECT doc_id, page, line, field, rubric, led AS leader, unit FROM l",
+)
+register(
+    "repair_quotes",
+    lambda s, d: typeset(s, d).select("doc_id", "page", "line", F.md5(L.repair_quotes(F.concat(F.lit("¿"), F.col("plain"), F.lit("¿ e ¿"), F.substring("plain", 1, 5), F.when(F.col("line") % 2 == 0, "¿").otherwise("")))).alias("digest")),
+    f"{_SET} SELECT doc_id, page, line, md5('“' || plain || '” e “' || substr(plain, 1, 5) || CASE WHEN line % 2 = 0 THEN '”' ELSE '' END) AS digest FROM l",
+)
+_SPEC = "CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN (doc_id % 7 + 1) || '-' || (doc_id % 4 + 1) WHEN 2 THEN cast(doc_id % 9 + 1 AS string) WHEN 3 THEN 'x' ELSE '2–4, 1' END"
+register(
+    "page_spec",
+    lambda s, d: L.page_spec(documents(s, d).select("doc_id", F.expr(_SPEC).alias("spec"), F.expr("cast(doc_id % 12 + 1 as int)").alias("total"))).groupBy("spec", "total").agg(F.first(F.array_join(F.col("pages").cast("array<string>"), ",")).alias("pages"), F.count("*").alias("n")),
+    f"""WITH v AS (SELECT DISTINCT doc_id % 5 AS k, {_SPEC} AS spec, (doc_id % 12 + 1)::INT AS total, least(doc_id % 7, doc_id % 4) + 1 AS low, greatest(doc_id % 7, doc_id % 4) + 1 AS high, doc_id % 9 + 1 AS one FROM documents),
+n AS (SELECT {_SPEC} AS spec, (doc_id % 12 + 1)::INT AS total, count(*) AS n FROM documents GROUP BY 1, 2)
+SELECT DISTINCT spec, total, CASE k WHEN 0 THEN array_to_string(range(1, total + 1), ',') WHEN 1 THEN CASE WHEN low <= total THEN array_to_string(range(low, least(high, total) + 1), ',') END WHEN 2 THEN CASE WHEN one <= total THEN one::VARCHAR END
+  WHEN 4 THEN array_to_string(range(1, least(4, total) + 1), ',') END AS pages, n FROM v JOIN n USING (spec, total)""",
+)
 register("lines_to_blocks", lambda s, d: K.lines_to_blocks(typeset(s, d)).select("doc_id", "page", "block", "kind", "level", F.sha2(F.to_json(F.struct("text", "items", "rows")), 256).alias("digest")))
 register("blocks_to_md", lambda s, d: K.markdown(K.lines_to_blocks(typeset(s, d))).select("doc_id", "page", F.sha2("md", 256).alias("digest")))
 register(

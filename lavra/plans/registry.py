@@ -17,6 +17,7 @@ from lavra.operators import incremental as I
 from lavra.operators import layout as L
 from lavra.operators import linking as K
 from lavra.operators import masking as M
+from lavra.operators import records as R
 from lavra.operators import search as S
 from lavra.operators import segment as G
 from lavra.sources import archive
@@ -269,25 +270,24 @@ register(
     "SELECT o_custkey AS doc_id, o_orderkey AS at FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders) WHERE r <= 12",
 )
 
+def filled(s: SparkSession, d: str) -> DataFrame:
+    """Templates of all acts; two thirds of the documents give their number, none gives a date."""
+    own = classified(s, d).select("doc_id", "act_id", M.mask(F.col("text")).alias("template"), F.get("cnj", F.lit(0)).alias("number"))
+    number = own.filter("doc_id % 3 <> 0").select("act_id", F.lit("[PROCESSO]").alias("token"), F.col("number").alias("value"))
+    date = own.select("act_id", F.lit("[DATA]").alias("token"), F.lit(" ").alias("value"))
+    return M.fill_from(own.select("act_id", "template"), number.unionByName(date))
+
+
+register("fill_template", filled, f"{archive.ACTS_SQL} SELECT act_id, CASE WHEN doc_id % 3 = 0 THEN {_mask} ELSE replace({_mask}, '[PROCESSO]', own_cnj) END AS template FROM a")
+_undone = lambda s, d: archive.documents(s, d).select("doc_id", "reading", F.concat(F.lit("fiel "), "reading").alias("faithful"), (F.col("doc_id") % 2 == 0).alias("undone"))
+register(
+    "active_text",
+    lambda s, d: _undone(s, d).select("doc_id", F.sha2(R.active_text("undone", "faithful", "reading"), 256).alias("digest")),
+    f"{archive.ACTS_SQL}, r AS (SELECT doc_id, string_agg('<!-- página ' || page || ' -->' || chr(10) || text, chr(10) || chr(10) ORDER BY ord) AS reading FROM a GROUP BY 1) SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN 'fiel ' ELSE '' END || reading) AS digest FROM r",
+)
+
 # ---- rows of single rules
-on_rows("dehyphenate", "prev string, nxt string", [("autos 0600001-", "23.2026"), ("guarda-", "chuva e o mais"), ("a apre-", "sentação da conta"), ("jurisdi-", "ção eleitoral restante"), ("sem hífen", "aqui"), ("pala-", "vra")],
-        lambda v: v.select("prev", L.dehyphenate(F.col("prev"), F.col("nxt")).alias("joined")), "SELECT prev, prev IN ('jurisdi-', 'pala-') AS joined FROM v")
-on_rows("page_spec", "spec string, total int", [("", 3), ("1-3, 5", 9), ("3-1", 9), ("9", 4), ("x", 4), ("8-9", 3), ("2–4", 3)],
-        lambda v: L.page_spec(v).select("spec", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages")),
-        "SELECT spec, CASE spec WHEN '' THEN '1,2,3' WHEN '1-3, 5' THEN '1,2,3,5' WHEN '3-1' THEN '1,2,3' WHEN '2–4' THEN '2,3' END AS pages FROM v")
-on_rows("repair_quotes", "id int, t string", [(1, "¿¿a b¿¿"), (2, "disse ¿sim¿ e"), (3, "¿aberto"), (4, "fim¿")], lambda v: v.select("id", L.repair_quotes(F.col("t")).alias("t")),
-        "SELECT id, CASE id WHEN 1 THEN '“a b”' WHEN 2 THEN 'disse “sim” e' WHEN 3 THEN '“aberto' ELSE 'fim”' END AS t FROM v")
-on_rows("list_items", "t string", [("1. item",), ("201. não",), ("a) letra",), ("• bala",), ("- traço",), ("texto",)], lambda v: v.select("t", L.list_item(F.col("t"))["kind"].alias("kind")),
-        "SELECT t, CASE t WHEN '1. item' THEN 'ol' WHEN '201. não' THEN NULL WHEN 'texto' THEN NULL ELSE 'ul' END AS kind FROM v")
-on_rows("line_shape", "t string", [("Classe: Recurso",), ("DIÁRIO DA JUSTIÇA",), ("Sumário ...... 3",), ("um texto comum.",)],
-        lambda v: v.select("t", L.is_field(F.col("t")).alias("field"), L.is_rubric(F.col("t")).alias("rubric"), L.is_leader(F.col("t")).alias("leader")),
-        "SELECT t, t LIKE 'Classe%' AS field, t LIKE 'DIÁRIO%' AS rubric, t LIKE '%....%' AS leader FROM v")
-on_rows("heading_level", "ratio double", [(1.0,), (1.28,), (1.69,), (1.7,)], lambda v: v.select("ratio", L.heading_level(F.col("ratio")).alias("level")), "SELECT ratio::DOUBLE AS ratio, CASE WHEN ratio >= 1.7 THEN 1 WHEN ratio >= 1.28 THEN 2 ELSE 3 END AS level FROM v")
-on_rows("active_text", "id int, faithful string, reading string, undone boolean", [(1, "fiel", "leitura", True), (2, "fiel", "leitura", False)],
-        lambda v: v.select("id", F.when(F.col("undone"), F.col("faithful")).otherwise(F.col("reading")).alias("t")), "SELECT id, CASE WHEN undone THEN faithful ELSE reading END AS t FROM v")
 on_rows("remap_links", "doc_id string, old string", [("x", "d1-1"), ("y", "d1-1"), ("y", "d2-1"), ("y", "d3-1"), ("z", "d1-1")],
         lambda v: K.remap(v, v.sparkSession.createDataFrame([("x", "d1-1", "n1")], "doc_id string, old string, new string"), v.sparkSession.createDataFrame([("d1-1", "n1"), ("d1-1", "n2"), ("d2-1", "n3")], "old string, new string")),
         "SELECT doc_id, old, CASE WHEN doc_id = 'x' THEN 'n1' WHEN old = 'd2-1' THEN 'n3' WHEN old = 'd3-1' THEN old END AS new FROM v")
-on_rows("fill_template", "id int, t string", [(1, "Processo [PROCESSO] em [DATA]")], lambda v: v.select("id", M.fill(F.col("t"), {"[PROCESSO]": "P1", "[DATA]": " "}).alias("t")), "SELECT id, replace(t, '[PROCESSO]', 'P1') AS t FROM v")
-
 from lavra.plans import layout_queries, record_queries, store_queries  # noqa: E402, F401  they register theirs
