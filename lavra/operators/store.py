@@ -5,6 +5,8 @@ tables give empty results; other columns pass through, those named as a result a
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -95,9 +97,10 @@ def new_id(old: Column, turn: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("#", old.cast("string"), turn.cast("string")), 256), 1, 16)
 
 
-def plan_restore(local: DataFrame, incoming: DataFrame, policy: str) -> DataFrame:
+def plan_restore(local: DataFrame, incoming: DataFrame, policy: str, run: str | None = None) -> DataFrame:
     """Documents after a restore, with `old_id` (what an incoming one was called) and `origin` (local or incoming).
-    keep: what is here stays; replace: what comes wins; copy: both stay, and what comes gets a new id."""
+    keep: what is here stays; replace: what comes wins; copy: both stay, and what comes gets a new id made of the old
+    one and `run`, another one in each restore unless given. restore.restore takes acts and links along."""
     if policy not in (KEEP, COPY, REPLACE):
         raise ValueError(f"unknown policy: {policy}")
     mine = local.drop("old_id", "origin").withColumn("old_id", F.col("id").cast("string")).withColumn("origin", F.lit("local"))
@@ -107,7 +110,7 @@ def plan_restore(local: DataFrame, incoming: DataFrame, policy: str) -> DataFram
     if policy == REPLACE:
         return mine.join(incoming.select("id"), "id", "left_anti").unionByName(theirs)
     here = local.select("id", F.lit(True).alias("here__")).distinct()
-    renamed = theirs.join(here, "id", "left").withColumn("id", F.when(F.col("here__"), new_id(F.col("old_id"), F.lit(1))).otherwise(F.col("old_id"))).drop("here__")
+    renamed = theirs.join(here, "id", "left").withColumn("id", F.when(F.col("here__"), new_id(F.col("old_id"), F.lit(run or uuid.uuid4().hex))).otherwise(F.col("old_id"))).drop("here__")
     return mine.withColumn("id", F.col("old_id")).unionByName(renamed.select(mine.columns))
 
 

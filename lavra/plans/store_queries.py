@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
+from lavra.operators import restore as V
 from lavra.operators import store as B
 from lavra.plans import registry as R
 
@@ -46,7 +48,7 @@ register("restore_preview", lambda s, d: B.preview(local(s, d), incoming(s, d)),
 _columns = ("id", "filename", "origin")
 register("restore_keep", lambda s, d: B.plan_restore(local(s, d), incoming(s, d), "keep").select(*_columns), f"{_L} SELECT id, filename, 'local' AS origin FROM l UNION ALL SELECT id, filename, 'incoming' FROM i WHERE id NOT IN (SELECT id FROM l)")
 register("restore_replace", lambda s, d: B.plan_restore(local(s, d), incoming(s, d), "replace").select(*_columns), f"{_L} SELECT id, filename, 'local' AS origin FROM l WHERE id NOT IN (SELECT id FROM i) UNION ALL SELECT id, filename, 'incoming' FROM i")
-register("restore_copy", lambda s, d: B.plan_restore(local(s, d), incoming(s, d), "copy").select(*_columns),
+register("restore_copy", lambda s, d: B.plan_restore(local(s, d), incoming(s, d), "copy", "1").select(*_columns),
          f"{_L} SELECT id, filename, 'local' AS origin FROM l UNION ALL SELECT CASE WHEN id IN (SELECT id FROM l) THEN substr(sha256(id || '#1'), 1, 16) ELSE id END, filename, 'incoming' FROM i")
 register("restore_blobs", lambda s, d: B.restore_blobs(blobs(s, d), incoming(s, d).select("id", F.encode("filename", "UTF-8").alias("data")), B.plan_restore(local(s, d), incoming(s, d), "replace")).select("id", F.decode("data", "UTF-8").alias("text")),
          f"{_L} SELECT id, filename AS text FROM i UNION ALL SELECT c_custkey::VARCHAR, c_mktsegment FROM customer WHERE c_custkey % 4 <> 1 AND c_custkey::VARCHAR NOT IN (SELECT id FROM i)")
@@ -85,3 +87,34 @@ register(
 )
 register("page_marks", lambda s, d: B.toggled(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page"))), "SELECT l_suppkey AS doc_id, l_linenumber AS page FROM lineitem GROUP BY 1, 2 HAVING count(*) % 2 = 1")
 register("pending_migrations", lambda s, d: B.pending_migrations(local(s, d).select(F.col("filename").alias("name")), local(s, d).filter("example").select(F.col("filename").alias("name"))), f"{_L} SELECT filename AS name FROM l WHERE k % 7 <> 0")
+
+
+def linked_archive(s: SparkSession, d: str, keep: str) -> dict[str, DataFrame]:
+    """Customers as documents, their orders as acts: each a duplicate of the one before, with the document's first act and
+    an act of another document as variants; one state of the history without links."""
+    order = Window.partitionBy("doc_id").orderBy("k")
+    rows = s.read.parquet(f"{d}/orders.parquet").filter(keep).selectExpr("cast(o_custkey as string) doc_id", "o_orderkey k", "o_custkey c").withColumn("act_id", F.concat_ws("-", "doc_id", F.row_number().over(order)))
+    other = F.concat((F.col("c") + 3).cast("string"), F.lit("-1"))
+    now = rows.select("doc_id", F.lit(None).cast("int").alias("state"), "act_id", F.lag("act_id").over(order).alias("duplicate_of"), F.array(F.concat("doc_id", F.lit("-1")), other).alias("variants"))
+    then = rows.select("doc_id", F.lit(0).alias("state"), "act_id", F.lit(None).cast("string").alias("duplicate_of"), F.array().cast("array<string>").alias("variants"))
+    return {"docs": rows.select(F.col("doc_id").alias("id")).distinct(), "acts": now.unionByName(then)}
+
+
+_both_sql = """
+WITH o AS (SELECT o_custkey AS c, o_custkey::VARCHAR AS doc_id, o_custkey || '-' || row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS act_id, o_custkey % 3 <> 0 AS here, o_custkey % 2 = 0 AS comes,
+  lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) IS NOT NULL AS later, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+m AS (SELECT DISTINCT c, CASE WHEN here AND {copied} THEN substr(sha256(doc_id || '#r'), 1, 16) ELSE doc_id END AS new_doc, here AND {copied} AS renamed FROM o WHERE comes AND ({policy} <> 'keep' OR NOT here)),
+x AS (SELECT o.*, m.new_doc, m.renamed, (SELECT count(*) FROM m z WHERE z.c = o.c + 3) > 0 AS known, coalesce((SELECT any_value(z.renamed) FROM m z WHERE z.c = o.c + 3), false) AS moved,
+  (SELECT any_value(z.new_doc) FROM m z WHERE z.c = o.c + 3) AS other_doc FROM o LEFT JOIN m ON m.c = o.c),
+y AS (SELECT doc_id, act_id, CASE WHEN later THEN c || '-' || (n - 1) END AS dup, c || '-1' AS v1, (c + 3) || '-1' AS v2 FROM x WHERE here AND NOT (comes AND {policy} = 'replace')
+  UNION ALL SELECT new_doc, CASE WHEN renamed THEN substr(sha256(new_doc || '#' || act_id || '#r'), 1, 16) ELSE act_id END,
+    CASE WHEN later THEN CASE WHEN renamed THEN substr(sha256(new_doc || '#' || c || '-' || (n - 1) || '#r'), 1, 16) ELSE c || '-' || (n - 1) END END,
+    CASE WHEN renamed THEN substr(sha256(new_doc || '#' || c || '-1#r'), 1, 16) ELSE c || '-1' END, CASE WHEN moved THEN substr(sha256(other_doc || '#' || (c + 3) || '-1#r'), 1, 16) ELSE (c + 3) || '-1' END FROM x WHERE new_doc IS NOT NULL)
+SELECT doc_id, -1 AS state, act_id, dup AS duplicate_of, v1 || ' ' || v2 AS variants FROM y UNION ALL SELECT doc_id, 0, act_id, NULL, '' FROM y
+"""
+for _policy in (B.KEEP, B.COPY, B.REPLACE):
+    register(
+        f"restore_acts_{_policy}",
+        lambda s, d, p=_policy: V.restore(linked_archive(s, d, "o_custkey % 3 <> 0"), linked_archive(s, d, "o_custkey % 2 = 0"), p, "r")["acts"].select("doc_id", F.coalesce("state", F.lit(-1)).alias("state"), "act_id", "duplicate_of", F.array_join("variants", " ").alias("variants")),
+        _both_sql.format(policy=f"'{_policy}'", copied="true" if _policy == B.COPY else "false"),
+    )
