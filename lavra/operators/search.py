@@ -95,18 +95,6 @@ def gaps(acts: DataFrame, labels: dict[str, str]) -> DataFrame:
     return acts.select("act_id", F.explode(F.transform(open_, lambda x: x["label"])).alias("label"))
 
 
-def merged(acts: DataFrame) -> DataFrame:
-    """Each act joined with the next of its document: text, pages, and a warning if both hold numbers and the
-    numbers differ."""
-    from pyspark.sql import Window
-
-    nxt = Window.partitionBy("doc_id").orderBy("ord")
-    follow = lambda c: F.lead(c).over(nxt)
-    rows = acts.select("act_id", "text", "pages", "cnj", follow("text").alias("t2"), follow("pages").alias("p2"), follow("cnj").alias("c2")).filter("t2 is not null")
-    warn = (F.size("cnj") > 0) & (F.size("c2") > 0) & (F.size(F.array_except("cnj", "c2")) > 0)
-    return rows.select("act_id", F.concat_ws("\n\n", "text", "t2").alias("text"), F.array_sort(F.array_union("pages", "p2")).alias("pages"), warn.alias("warning"))
-
-
 def weighted_median(rows: DataFrame, by: str, value: str, weight: str) -> DataFrame:
     """The least value at which the running weight reaches half of the group's; values are summed first, so
     that a large group is sorted by its distinct values only."""

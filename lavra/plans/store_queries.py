@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lavra.operators import restore as V
+from lavra.operators import sealed as Z
 from lavra.operators import store as B
 from lavra.plans import registry as R
 
@@ -88,6 +89,17 @@ register(
 register("page_marks", lambda s, d: B.toggled(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page"))), "SELECT l_suppkey AS doc_id, l_linenumber AS page FROM lineitem GROUP BY 1, 2 HAVING count(*) % 2 = 1")
 register("pending_migrations", lambda s, d: B.pending_migrations(local(s, d).select(F.col("filename").alias("name")), local(s, d).filter("example").select(F.col("filename").alias("name"))), f"{_L} SELECT filename AS name FROM l WHERE k % 7 <> 0")
 
+_leaf = """leaf AS (SELECT sha256('{"kind":"' || kind || '","id":"' || id || '"}') AS place, sha256('{"kind":"' || kind || '","id":"' || id || '","bytes":' || strlen(data) || ',"sha256":"' || sha256(data) || '"}') AS digest FROM e)"""
+_node = lambda name, of, n: f"{name} AS (SELECT substr(place, 1, {n}) AS place, sha256(string_agg(digest, ',' ORDER BY digest)) AS digest FROM {of} GROUP BY 1)"
+register(
+    "backup_seal",
+    lambda s, d: s.createDataFrame([Z.manifest(B.backup(local(s, d).select("id", "filename"), blobs(s, d)))], "format string, version int, docs bigint, blobs bigint, bytes bigint, digest string"),
+    f"""WITH e AS (SELECT 'doc' AS kind, c_custkey::VARCHAR AS id, '{{"filename":"' || c_name || '","id":"' || c_custkey || '"}}' AS data FROM customer UNION ALL SELECT 'blob', c_custkey::VARCHAR, c_mktsegment FROM customer WHERE c_custkey % 4 <> 1),
+{_leaf}, {_node('one', 'leaf', 1)}, {_node('root1', 'one', 0)}, {_node('two', 'leaf', 2)}, {_node('half', 'two', 1)}, {_node('root2', 'half', 0)}
+SELECT 'acervo-backup' AS format, 1 AS version, count(*) FILTER (kind = 'doc') AS docs, count(*) FILTER (kind = 'blob') AS blobs, sum(strlen(data))::BIGINT AS bytes,
+  CASE WHEN count(*) <= 1024 THEN (SELECT digest FROM root1) ELSE (SELECT digest FROM root2) END AS digest FROM e""",
+)  # 65 to 16,384 entries
+
 
 def linked_archive(s: SparkSession, d: str, keep: str) -> dict[str, DataFrame]:
     """Customers as documents, their orders as acts: each a duplicate of the one before, with the document's first act and
