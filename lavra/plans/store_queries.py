@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lavra.operators import history as H
 from lavra.operators import restore as V
 from lavra.operators import sealed as Z
 from lavra.operators import store as B
@@ -101,6 +102,26 @@ SELECT 'acervo-backup' AS format, 1 AS version, count(*) FILTER (kind = 'doc') A
 )  # 65 to 16,384 entries
 
 
+def states(s: SparkSession, d: str) -> DataFrame:
+    """Orders as acts of their customer, one in five of today, the others of four states before."""
+    return s.read.parquet(f"{d}/orders.parquet").selectExpr("o_custkey as doc_id", "cast(nullif(o_orderkey % 5, 4) as int) as state", "o_orderkey as act")
+
+
+_S = "WITH s AS (SELECT o_custkey AS doc_id, nullif(o_orderkey % 5, 4)::INT AS state, o_orderkey AS act FROM orders), t AS (SELECT *, max(state) OVER (PARTITION BY doc_id) AS last FROM s)"
+_shown = lambda df: df.select("doc_id", F.coalesce("state", F.lit(-1)).alias("state"), "act")
+register(
+    "undo_states",
+    lambda s, d: _shown(H.undo(states(s, d), s.read.parquet(f"{d}/customer.parquet").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("doc_id")))),
+    f"{_S} SELECT doc_id, CASE WHEN state IS NULL OR (doc_id % 2 = 0 AND state = last) THEN -1 ELSE state END AS state, act FROM t WHERE NOT (doc_id % 2 = 0 AND last IS NOT NULL AND state IS NULL)",
+)
+register(
+    "push_states",
+    lambda s, d: _shown(H.push(states(s, d), s.read.parquet(f"{d}/customer.parquet").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("doc_id"), (-F.col("c_custkey")).alias("act")), 3)),
+    f"{_S}, m AS (SELECT doc_id, doc_id % 3 = 0 AS named, coalesce(last, -1) + 1 AS next, state, act FROM t) SELECT doc_id, coalesce(state, CASE WHEN named THEN next ELSE -1 END)::INT AS state, act FROM m "
+    "WHERE NOT named OR coalesce(state, next) > next - 3 UNION ALL SELECT c_custkey, -1, -c_custkey FROM customer WHERE c_custkey % 3 = 0",
+)
+
+
 def linked_archive(s: SparkSession, d: str, keep: str) -> dict[str, DataFrame]:
     """Customers as documents, their orders as acts: each a duplicate of the one before, with the document's first act and
     an act of another document as variants; one state of the history without links."""
