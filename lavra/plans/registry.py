@@ -1,8 +1,7 @@
 """The library's registered queries and their SQL.
 
 Queries named after a rule run on the synthetic archive: the archive's text is sliced, segmented and
-classified, while the SQL side starts from the orders. Small inputs of single rules stand here as rows and
-appear in the SQL as VALUES."""
+classified, while the SQL side starts from the orders. Rules of lines run over all documents set in lines."""
 
 from __future__ import annotations
 
@@ -49,20 +48,6 @@ def on_acts(name: str, columns: Callable[[], dict[str, Column]], sql_columns: st
     register(name, lambda s, d: classified(s, d).select("act_id", *[c.alias(k) for k, c in columns().items()]), f"{archive.ACTS_SQL} SELECT act_id, {sql_columns} FROM a")
 
 
-def on_rows(name: str, schema: str, rows: list[tuple], make: Callable[[DataFrame], DataFrame], sql: str) -> None:
-    """A query over rows that stand here; {v} in the SQL is the same rows as a table v."""
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
-
-    def lit(x: object) -> str:
-        if x is None:
-            return "NULL"
-        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"[{', '.join(map(lit, x))}]" if isinstance(x, list) else str(x)
-
-    values = ", ".join("(" + ", ".join(lit(x) for x in r) + ")" for r in rows)
-    table = f"WITH v({', '.join(names)}) AS (VALUES {values}) "
-    register(name, lambda s, d: make(s.createDataFrame(rows, schema)), table.rstrip() + (sql if sql.startswith(",") else " " + sql))
-
-
 U = T.UNKNOWN
 _known = lambda sql: f"CASE WHEN coalesce({sql}, '') = '' THEN '{U}' ELSE {sql} END"
 _x = lambda p, g=0, col="blob": f"regexp_extract({col}, '(?i){p}', {g})"
@@ -286,8 +271,20 @@ register(
     f"{archive.ACTS_SQL}, r AS (SELECT doc_id, string_agg('<!-- página ' || page || ' -->' || chr(10) || text, chr(10) || chr(10) ORDER BY ord) AS reading FROM a GROUP BY 1) SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN 'fiel ' ELSE '' END || reading) AS digest FROM r",
 )
 
-# ---- rows of single rules
-on_rows("remap_links", "doc_id string, old string", [("x", "d1-1"), ("y", "d1-1"), ("y", "d2-1"), ("y", "d3-1"), ("z", "d1-1")],
-        lambda v: K.remap(v, v.sparkSession.createDataFrame([("x", "d1-1", "n1")], "doc_id string, old string, new string"), v.sparkSession.createDataFrame([("d1-1", "n1"), ("d1-1", "n2"), ("d2-1", "n3")], "old string, new string")),
-        "SELECT doc_id, old, CASE WHEN doc_id = 'x' THEN 'n1' WHEN old = 'd2-1' THEN 'n3' WHEN old = 'd3-1' THEN old END AS new FROM v")
+# ---- names of links
+
+
+def remapped(s: SparkSession, d: str) -> DataFrame:
+    """Links of customers to fifty names: a third has a name of its own, twenty are ambiguous and ten unknown elsewhere."""
+    links = s.read.parquet(f"{d}/orders.parquet").selectExpr("o_custkey as doc_id", "concat('k', o_orderkey % 50) as old").distinct()
+    local = links.filter("doc_id % 3 = 0").selectExpr("doc_id", "old", "concat(doc_id, '/', old) as new")
+    anywhere = s.read.parquet(f"{d}/part.parquet").selectExpr("concat('k', p_partkey % 40) as old", "concat('n', p_partkey % 40, '-', if(p_partkey % 40 < 20, p_partkey div 40 % 2, 0)) as new").distinct()
+    return K.remap(links, local, anywhere)
+
+
+register(
+    "remap_links", remapped,
+    "SELECT doc_id, 'k' || k AS old, CASE WHEN doc_id % 3 = 0 THEN doc_id || '/k' || k WHEN k < 20 THEN NULL WHEN k < 40 THEN 'n' || k || '-0' ELSE 'k' || k END AS new FROM (SELECT DISTINCT o_custkey AS doc_id, o_orderkey % 50 AS k FROM orders)",
+)
+
 from lavra.plans import layout_queries, record_queries, store_queries  # noqa: E402, F401  they register theirs
