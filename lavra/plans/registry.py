@@ -287,4 +287,4 @@ register(
     "SELECT doc_id, 'k' || k AS old, CASE WHEN doc_id % 3 = 0 THEN doc_id || '/k' || k WHEN k < 20 THEN NULL WHEN k < 40 THEN 'n' || k || '-0' ELSE 'k' || k END AS new FROM (SELECT DISTINCT o_custkey AS doc_id, o_orderkey % 50 AS k FROM orders)",
 )
 
-from lavra.plans import layout_queries, record_queries, search_queries, store_queries  # noqa: E402, F401  they register theirs
+from lavra.plans import layout_queries, record_queries, search_queries, store_queries, view_queries  # noqa: E402, F401  they register theirs
