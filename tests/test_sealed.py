@@ -53,3 +53,18 @@ def test_one_change_is_refused(spark, entries, tmp_path):
         spark.createDataFrame([(text,)], "value string").write.text(str(path / "manifest"))
         with pytest.raises(sealed.Broken):
             sealed.unseal(spark, str(path))
+
+
+def test_query_of_many_entries_is_its_sql(spark, tmp_path):
+    """26,250 entries, over the 16,384 from which the operator's own tree has three levels."""
+    import duckdb
+
+    from lavra.plans import registry
+
+    rows = "SELECT range AS c_custkey, 'Customer#' || range AS c_name, 1::INT AS c_nationkey, 0.5::DOUBLE AS c_acctbal, 'M' || range % 5 AS c_mktsegment FROM range(15000)"
+    con = duckdb.connect()
+    con.sql(f"COPY ({rows}) TO '{tmp_path}/customer.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    want = con.sql(registry.SQL["backup_seal"]).fetchall()
+    got = [tuple(r) for r in registry.QUERIES["backup_seal"](spark, str(tmp_path)).collect()]
+    assert got == want and sealed.levels(got[0][2] + got[0][3]) == 3
