@@ -168,6 +168,16 @@ def components(edges: DataFrame) -> DataFrame:
             return now
 
 
+def stars(edges: DataFrame) -> DataFrame:
+    """edges(a, b), each a with few b, to edges(a, b) of the same components: each a and its other b hang on its
+    least b. Nodes that share their neighbours give one edge each and share the rest, where all pairs of a node and
+    its neighbours went into every round of `components`."""
+    near = edges.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("bs"))
+    own = near.select("a", F.col("m").alias("b"))
+    rest = near.select("m", F.array_sort(F.array_remove("bs", F.col("m"))).alias("bs")).distinct()
+    return own.unionByName(rest.select(F.explode("bs").alias("a"), F.col("m").alias("b")).distinct())
+
+
 def similarity(a: str, b: str) -> Column:
     """Jaccard similarity of two array columns without repeated elements."""
     common = F.size(F.array_intersect(a, b))
@@ -221,8 +231,8 @@ def links(texts: Callable[[DataFrame], DataFrame], buckets: DataFrame, like: flo
     one, two = bag.select("id", F.col("elems").alias("x")), bag.select(F.col("id").alias("hub"), F.col("elems").alias("y"))
     verified = pairs.join(one, "id").join(two, "hub").filter(similarity("x", "y") >= like).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     verified = cut(verified, "links")
-    label = components(verified)
-    group = components(pairs.select(F.col("id").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("id"), F.col("label").alias("grp"))
+    label = components(stars(verified))
+    group = components(stars(pairs.select(F.col("id").alias("a"), F.col("hub").alias("b")))).select(F.col("node").alias("id"), F.col("label").alias("grp"))
     known = group.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "grp", F.coalesce("label", "id").alias("label"))
     sizes = known.groupBy("grp", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("grp").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("classes"), F.sum("n").alias("all")).filter("classes > 1")
@@ -242,7 +252,8 @@ def links(texts: Callable[[DataFrame], DataFrame], buckets: DataFrame, like: flo
         .withColumn("qb", F.explode(F.sequence(F.lit(0), blocks("minors", QUERY_BLOCK) - 1))).select(*by, "id", "label", "elems")
     )
     more = left.groupBy(*by).cogroup(right.toDF(*right.columns).groupBy(*by)).applyInArrow(_compare(like), "a bigint, b bigint")
-    return components(cut(verified.unionByName(more), "all-links"))
+    known_links = label.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return components(cut(known_links.unionByName(more), "all-links"))
 
 
 def classes(docs: DataFrame, like: float = LIKE) -> DataFrame:

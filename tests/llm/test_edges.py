@@ -79,3 +79,15 @@ def test_values(spark, odd):
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in shards.groupby("shard"))
     prints = q["op4_weighted_samples"](spark, odd).toPandas().set_index("doc_id")
     assert prints.loc[1].fingerprint == prints.loc[5].fingerprint == "-" and prints.loc[6].fingerprint == prints.loc[8].fingerprint.iloc[0]
+
+
+def test_stars_join_what_the_edges_join(spark):
+    from lavra.llm import minhash
+
+    # forty nodes that share twelve neighbours, and two that share one of them or none
+    edges = [(100 + i, j) for i in range(40) for j in range(12)] + [(200, 11), (200, 50), (300, 60)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    few = minhash.stars(df)
+    assert few.count() == 40 + 11 + 2 + 1 < len(edges)
+    want = {r.node: r.label for r in minhash.components(df).collect()}
+    assert {r.node: r.label for r in minhash.components(few).collect()} == want and want[50] == 0 and want[300] == 60
