@@ -2,6 +2,7 @@
 
 import csv
 import json
+import random
 import re
 import unicodedata
 
@@ -67,3 +68,23 @@ def test_pairs_of_null_blocks(spark):
     df = spark.createDataFrame([(1, None, texts[0]), (2, None, texts[1]), (3, "pt", texts[2]), (4, "pt", texts[3])], "doc_id long, block string, text string")
     assert sorted((r.doc_id, r.other) for r in K.similar_pairs(df).collect()) == [(2, 1), (4, 3)]
     assert sorted((r.doc_id, r.variant_of) for r in K.variants(df).collect()) == [(2, 1), (4, 3)]
+
+
+def test_only_near_classes_are_compared_by_tokens(spark):
+    rng = random.Random(7)
+    vocabulary = [f"palavra{k}" for k in range(400)]
+    texts = [" ".join(rng.sample(vocabulary, rng.choice([3, 20, 90, 300]))) for _ in range(40)]
+    for t in texts[:20]:
+        words_ = t.split()
+        texts += [" ".join(words_), " ".join(words_[: len(words_) * 8 // 10] + ["outra"])]
+    rows = [(i, "ab"[i % 2] if i % 5 else None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, block string, text string")
+    sets, want = [set(t.split()) for t in texts], set()
+    for i in range(len(rows)):
+        want |= {(i, j, len(sets[i] & sets[j]), len(sets[i] | sets[j])) for j in range(i) if rows[i][1] == rows[j][1] and 100 * len(sets[i] & sets[j]) >= 72 * len(sets[i] | sets[j])}
+    assert len(want) > 5 and {tuple(r) for r in K.similar_pairs(df).collect()} == want
+    classes = df.select(F.col("doc_id").alias("rep"), "block", K.tokens(F.col("text")).alias("tokens")).withColumn("n", F.size("tokens"))
+    every = classes.select("rep").crossJoin(classes.select(F.col("rep").alias("like"))).filter("like < rep")
+    left = {tuple(r) for r in K.near(every, classes).collect()}
+    alike = {(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 72 * len(sets[i] | sets[j])}
+    assert alike <= left and len(left) < len(alike) + 100 < every.count() / 4
