@@ -9,6 +9,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from lavra.operators import classify as C
+from lavra.operators import incremental as I
 from lavra.operators import linking as K
 from lavra.operators import search as S
 from lavra.operators import segment as G
@@ -88,3 +89,10 @@ def test_only_near_classes_are_compared_by_tokens(spark):
     left = {tuple(r) for r in K.near(every, classes).collect()}
     alike = {(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 72 * len(sets[i] | sets[j])}
     assert alike <= left and len(left) < len(alike) + 100 < every.count() / 4
+
+
+def test_texts_of_a_batch_are_folded_once(spark):
+    acts = spark.createDataFrame([(1, 1, "1-1", "c", "t", f"{COMMON} um"), (2, 1, "2-1", "c", "t", f"{COMMON} dois")], "doc_id long, ord int, act_id string, classe string, tipo string, text string")
+    added = I.add(acts, I.ranks(acts))
+    assert not any("regexp_replace" in x._jdf.queryExecution().optimizedPlan().toString() for x in added.values())
+    assert [tuple(r) for r in I.links(added["members"], added["pairs"]).orderBy("doc_id").collect()] == [(1, 1, None, []), (2, 1, None, ["1-1"])]
