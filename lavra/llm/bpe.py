@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, table
+from .common import give_back, small_batches, table, tidied
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks between blanks, and characters of them, kept with their ids by each worker; a full table is emptied.
@@ -259,7 +259,9 @@ class WordBpe:
 @functools.lru_cache(maxsize=1)
 def worker_bpe(path: str) -> WordBpe:
     """The encoder that the tasks of a worker process share."""
-    return WordBpe(path)
+    bpe = WordBpe(path)
+    give_back()  # what reading the vocabulary left
+    return bpe
 
 
 def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
@@ -277,7 +279,7 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
 
     docs = docs.drop("token_ids", *(["decoded"] if decoded else []))
     schema = StructType(list(docs.schema.fields)).add("token_ids", ArrayType(IntegerType()))
-    return docs.mapInArrow(run, schema.add("decoded", StringType()) if decoded else schema)
+    return docs.mapInArrow(tidied(run), schema.add("decoded", StringType()) if decoded else schema)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -293,7 +295,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, text], [*b.schema.names, "decoded"])
 
     rows = rows.drop("decoded")
-    return rows.mapInArrow(run, StructType(list(rows.schema.fields)).add("decoded", StringType()))
+    return rows.mapInArrow(tidied(run), StructType(list(rows.schema.fields)).add("decoded", StringType()))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -306,7 +308,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             cols = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_numpy_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, word_hashes
+from .common import cut, table, tidied, word_hashes
 
 SHINGLE = 5
 LIKE = 0.8
@@ -134,7 +134,7 @@ def sketch(rows: DataFrame) -> DataFrame:
             ends = np.r_[0, np.cumsum(some * BANDS)].astype(np.int32)
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["h1"], b["h2"], pa.ListArray.from_arrays(ends, pa.array(flat_bands))], ["doc_id", "h1", "h2", "bands"])
 
-    return rows.mapInArrow(run, "doc_id bigint, h1 bigint, h2 bigint, bands array<bigint>")
+    return rows.mapInArrow(tidied(run), "doc_id bigint, h1 bigint, h2 bigint, bands array<bigint>")
 
 
 def elements(rows: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def elements(rows: DataFrame) -> DataFrame:
             ends = np.r_[0, np.cumsum(np.bincount(doc[row], minlength=b.num_rows))].astype(np.int32)
             yield pa.RecordBatch.from_arrays([b["id"], pa.ListArray.from_arrays(ends, pa.array(e))], ["id", "elems"])
 
-    return rows.mapInArrow(run, "id bigint, elems array<bigint>")
+    return rows.mapInArrow(tidied(run), "id bigint, elems array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, tidied
 
 DIMS = 512
 MOST_TRAINING = 20_000
@@ -180,7 +180,7 @@ def _votes_of(docs: DataFrame) -> DataFrame:
             c = Counter(tuple(votes(stats(t.as_py()))) for t in b["text"])
             yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in c], pa.list_(pa.int32())), pa.array(c.values(), pa.int64())], ["votes", "n"])
 
-    return docs.select("text").mapInArrow(run, "votes array<int>, n bigint")
+    return docs.select("text").mapInArrow(tidied(run), "votes array<int>, n bigint")
 
 
 def _features_of(docs: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def _features_of(docs: DataFrame) -> DataFrame:
                 ["votes", "at", "value"],
             )
 
-    return docs.select("text").mapInArrow(run, "votes array<int>, at array<int>, value array<float>")
+    return docs.select("text").mapInArrow(tidied(run), "votes array<int>, at array<int>, value array<float>")
 
 
 @dataclass(frozen=True)
@@ -236,7 +236,7 @@ def judge(docs: DataFrame, model: Classifier) -> DataFrame:
     clash = [c for c in docs.columns if c in ("quality_score", "quality_posterior", "keep")]
     docs = docs.drop(*clash)
     schema = StructType(list(docs.schema.fields)).add("quality_score", DoubleType()).add("quality_posterior", DoubleType()).add("keep", BooleanType())
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import table, word_hashes
+from .common import give_back, table, tidied, word_hashes
 
 WINDOW = 13
 _SPACE = re.compile("[\x20\x09-\x0d]+")
@@ -257,7 +257,7 @@ def _send(opened: list[np.ndarray], buckets: int, ranges: int, size: int):
 def _subtree(ranges: int):
     """Deep nodes of one group of prefixes: every document of a window but its least is marked."""
 
-    def run(group: pa.Table) -> pa.Table:
+    def marks(group: pa.Table) -> pa.Table:
         to, hashes, docs, ids, salts, n = [], [], [], [], [], 0
         for t, h, d, i, s in zip(*(group[c].to_pylist() for c in ("to_range", "hashes", "docs", "ids", "salts")), strict=True):
             if t is not None:
@@ -281,13 +281,18 @@ def _subtree(ranges: int):
         kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
         return pa.table({c: pa.array([x[k] for x in to], kind) for k, (c, kind) in enumerate(zip(("to_range", "hashes", "docs", "ids"), kinds, strict=True))})
 
+    def run(group: pa.Table) -> pa.Table:
+        out = marks(group)
+        give_back()
+        return out
+
     return run
 
 
 def open_prefixes(rows: DataFrame, most_words: int, size: int, limit: int) -> tuple[list[np.ndarray], int]:
     """Prefixes to be lengthened, by length, and the number of suffixes. rows(id, salt, h). At most
     2 * MOST_GROUPS prefixes of each length reach the driver, since each holds over limit / 2 suffixes."""
-    counted = rows.mapInArrow(_count(limit / 2 / max(1, most_words), size), "length int, prefix bigint, n bigint")
+    counted = rows.mapInArrow(tidied(_count(limit / 2 / max(1, most_words), size)), "length int, prefix bigint, n bigint")
     found = counted.groupBy("length", "prefix").agg(F.sum("n").alias("n")).filter((F.col("length") == 0) | (F.col("n") > limit // 2)).collect()
     of = lambda k: np.sort(np.array([r["prefix"] for r in found if r["length"] == k], np.int64).view(np.uint64))
     return [of(k) for k in range(1, size)], sum(r["n"] for r in found if r["length"] == 0)
@@ -307,14 +312,14 @@ def clean(docs: DataFrame, size: int = WINDOW, limit: int = LIMIT, digest_only:
     suffixes = docs.select(own.alias("id"), salt.alias("salt"), word_hashes(F.col("text")).alias("h")).filter(F.size("h") >= size)
     opened, n = open_prefixes(suffixes, most_words, size, limit) if most_words > limit else ([], 0)
     buckets = max(1, -(-2 * n // limit))
-    sent = suffixes.mapInArrow(_send(opened, buckets, ranges, size), _SENT)
+    sent = suffixes.mapInArrow(tidied(_send(opened, buckets, ranges, size)), _SENT)
     answers = sent.groupBy("bucket").applyInArrow(_subtree(ranges), "to_range int, hashes binary, docs binary, ids binary")
     kept_fields = [StructField("doc_id", LongType())] if digest_only else list(docs.schema.fields)
     new = [StructField("n_words", LongType()), StructField("n_removed", LongType())]
     new.append(StructField("kept_sha256", StringType()) if digest_only else StructField("spans", ArrayType(ArrayType(IntegerType()))))
     schema = StructType([*kept_fields, *new])
 
-    def cut_out(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    def kept_of(left: pa.Table, right: pa.Table) -> pa.Table:
         from xxhash import xxh64_intdigest
 
         marked: dict[int, list[np.ndarray]] = {}
@@ -352,6 +357,11 @@ def clean(docs: DataFrame, size: int = WINDOW, limit: int = LIMIT, digest_only:
         columns[new[-1].name] = pa.array(third, pa.string() if digest_only else pa.list_(pa.list_(pa.int32())))
         return pa.table(columns)
 
+    def cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = kept_of(left, right)
+        give_back()
+        return out
+
     columns = ["doc_id", "text"] if digest_only else docs.columns
     left = docs.select(*columns, range_number(own, salt, ranges).alias("to_range__"))
     return left.groupBy("to_range__").cogroup(answers.groupBy("to_range")).applyInArrow(cut_out, schema)
