@@ -57,3 +57,25 @@ def test_repeated_line_counts_trimmed_lines(spark):
     line = "linha repetida de mais de quarenta caracteres aqui"
     df = spark.createDataFrame([("\n".join([line, " " + line, "outra", line + "\t"]),), ("x\n" * 5,)], "text string")
     assert [r.r and tuple(r.r) for r in df.select(D.repeated_line(F.col("text")).alias("r")).collect()] == [(line, 3), None]
+
+
+def test_plain_lines_are_not_taken_apart(spark):
+    text = "Despacho\nProcesso 0600001-23.2026.6.14.0002\n" + "linha simples\n" * 9 + " \n sentença \nfim"
+    df = spark.createDataFrame([(1, text), (2, text.replace("fim", "f\0m"))], "doc_id long, reading string").withColumn("filename", F.lit("a.md"))
+    runs = G._chunks(df.select(F.struct("doc_id", "filename").alias("key"), "reading"), None).select(F.size("ls"))
+    assert [r[0] for r in runs.collect()] == [3, 3]
+    assert "translate(" not in plan(G.acts(df))
+    assert sorted(G.acts(df).collect()) == sorted(G.acts(df, 1).collect()) and G.acts(df).count() == 4
+
+
+def test_start_lines_hold_four_words_at_most(spark):
+    lines = ["Despacho a b c", "Despacho a b c d", "Despacho  a\tb c", "ementa", "relatório despacho", "Sentença", "representação"]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select(G.is_start(F.col("line")))
+    assert [r[0] for r in got.collect()] == [True, False, True, False, False, True, True]
+
+
+def test_rules_look_at_first_letters_before_word_edges(spark):
+    df = spark.createDataFrame([("x",)], "low string")
+    assert "(?=[" in plan(df.select(C.quick(F.col("low"), r"\bconhecimento\b")))
+    texts = spark.createDataFrame([("em conhecimento.",), ("desconhecimento",), ("aije",)], "low string")
+    assert [tuple(r) for r in texts.select(C.quick(F.col("low"), r"\bconhecimento\b"), C.quick(F.col("low"), r"\bAIJE\b")).collect()] == [(True, False), (False, False), (False, True)]
