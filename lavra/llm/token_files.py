@@ -8,7 +8,7 @@ Segments are rows of a Parquet table in the shared folder: any store that Spark
 first_key / last_key let a reader skip segments.
 
 Each piece of text that the vocabulary's pattern yields is encoded by the tokenizers library once and kept
-in a bounded table, as the same pieces come again and again.
+in a bounded table, and so are the ids of what stands between blanks, as the same words come again and again.
 
 Defined results: null is the empty text, which has the end id only; null doc_ids come first and are found
 with key None; rows of one doc_id keep an order (by hash of the text) and are told apart by their occurrence
@@ -29,60 +29,147 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .bpe import vocabulary_path
-from .common import new_path, partitions, table
+from .bpe import _gather, byte_symbols, vocabulary_path
+from .common import new_path, partitions, small_batches, table, tidied
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 SEGMENT_IDS = 1 << 20
-MOST_PIECES = 600_000
+#: Chunks and pieces, and characters of each, that a worker keeps; a full table keeps the frequent ones.
+MOST_KNOWN = 500_000
+MOST_CHARS = 16_000_000
+#: White space but the blank itself.
+WHITE = frozenset("\t\n\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 # Fixed value: the splitting pattern of byte-level vocabularies. Runs of letters and digits are tried first: they
 # cannot begin at an apostrophe, so the pieces are the same.
 PATTERN = r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 ENTRY = np.dtype([("fingerprint", "<u4"), ("length", "<u4"), ("offset", "<u8")])
 
 
+class Table(dict):
+    """Numbers of strings, given as they are asked for, and the ids of each number."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.chars = 0
+        self.ids, self.starts, self.lengths, self.seen = np.empty(0, "<u4"), *(np.empty(0, np.int64) for _ in range(3))
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+    def put(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Add the ids of the new numbers, in order."""
+        self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(lengths) - lengths]
+        self.lengths, self.ids = np.r_[self.lengths, lengths], np.r_[self.ids, ids]
+        self.seen = np.r_[self.seen, np.zeros(len(lengths), np.int64)]
+        self.chars += sum(map(len, self.new))
+        self.new = []
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbers one after the other, and how many each has."""
+        self.seen += np.bincount(at, minlength=len(self.seen))
+        lengths = self.lengths[at]
+        return _gather(self.ids, self.starts[at], lengths), lengths
+
+    def thinned(self, most: int, most_chars: int) -> Table:
+        """Itself, or, when it is full, a new one of what was asked for again, at most a quarter as much."""
+        if len(self) < most and self.chars < most_chars:
+            return self
+        out, keys, kept = type(self)(), list(self), np.flatnonzero(self.seen > 1)
+        kept = kept[np.argsort(-self.seen[kept], kind="stable")[: most // 4]].tolist()
+        out.new = [keys[i] for i in kept]
+        if sum(map(len, out.new)) > most_chars // 4:
+            return type(self)()
+        out.update(zip(out.new, range(len(kept)), strict=True))
+        out.put(*self.of(np.array(kept, np.int64)))
+        return out
+
+
+class Chunks(Table):
+    """Of what stands between blanks; the key of a text's start has a blank before it."""
+
+    def __missing__(self, key: str) -> int:
+        """A new number; -1 if white space follows the blank before the key."""
+        return -1 if not key or key[0] in WHITE else super().__missing__(key)
+
+
+def _keys(split: list[str]) -> list[str]:
+    split[0] = " " + split[0]
+    return split
+
+
 class Encoder:
-    """Ids of texts as bytes."""
+    """Ids of texts as bytes. The library encodes each piece that is not known. No piece reaches over a blank that has other
+    than white space behind it, so a text is looked up by the chunks between such blanks, most of which came before."""
 
-    def __init__(self, path: str, most: int = MOST_PIECES):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = MOST_KNOWN, most_chars: int = MOST_CHARS):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pattern = regex.compile(PATTERN)
-        self.most = most
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode pieces with few calls of the library: the pattern never joins a piece with the line feed
-        before or after it, so that pieces on lines of their own are encoded as if alone."""
-        blank = [w for w in new if w.isspace() or "\n" in w]
-        lines = list(set(new).difference(blank))
-        for w in blank:
-            self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        for at in range(0, len(lines), 20_000):
-            part = lines[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.r_[np.flatnonzero(ids == feed[0]), len(ids)]
-            data, start = ids.tobytes(), 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                self.known[w] = data[4 * start : 4 * end]
-                start = end + 1
+        self.pattern, self.edge = regex.compile(PATTERN), regex.compile(r" (?=\P{White_Space})")
+        self.by_piece = Tokenizer(self.tokenizer.model)  # takes pieces of byte symbols on lines of their own
+        self.by_piece.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        symbols = byte_symbols()
+        if lacking := [c for c in symbols if c not in vocab]:
+            raise ValueError(f"the vocabulary lacks symbols of bytes: {lacking[:5]}")
+        self.symbols = dict(enumerate(symbols)) | {0xFF: "\n"}  # no text in UTF-8 has that byte
+        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.n_bytes[list(vocab.values())] = [len(t) for t in vocab]
+        self.most, self.most_chars = most, most_chars
+        self.pieces, self.chunks = Table(), Chunks()
+
+    def _learn_pieces(self) -> None:
+        new = self.pieces.new
+        for at in range(0, len(new), 20_000):
+            raw = [p.encode() for p in new[at : at + 20_000]]
+            line = b"\xff".join(raw).decode("latin-1").translate(self.symbols)
+            got = np.array(self.by_piece.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.n_bytes[got]), np.cumsum([len(p) for p in raw])) + 1
+            self.pieces.new = new[at : at + 20_000]
+            self.pieces.put(got, np.diff(ends, prepend=0))
+
+    def _learn_chunks(self) -> None:
+        """Ids of the new chunks. A key that begins with a blank is the start of a text without that blank."""
+        new, self.pieces = self.chunks.new, self.pieces.thinned(self.most, self.most_chars)
+        odd = {i: self.pattern.findall(c[1:] if c[0] == " " else " " + c) for i, c in enumerate(new) if " " in c}
+        plain = [c for c in new if " " not in c]
+        found = self.pattern.findall(" " + " ".join(plain)) if plain else []
+        first = np.flatnonzero(np.fromiter((p[0] == " " for p in found), bool, len(found)))  # a piece of each chunk
+        counts = np.zeros(len(new), np.int64)
+        is_odd = np.zeros(len(new), bool)
+        is_odd[list(odd)] = True
+        counts[~is_odd], counts[is_odd] = np.diff(first, append=len(found)), [len(x) for x in odd.values()]
+        at = np.empty(counts.sum(), np.int64)
+        of_odd = np.repeat(is_odd, counts)
+        at[~of_odd], at[of_odd] = self.pieces.numbers(found), self.pieces.numbers([p for x in odd.values() for p in x])
+        self._learn_pieces()
+        ids, lengths = self.pieces.of(at)
+        before = np.r_[0, np.cumsum(lengths)]
+        to = np.cumsum(counts)
+        self.chunks.put(ids, before[to] - before[to - counts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        self.chunks = self.chunks.thinned(self.most, self.most_chars)
         plain = [not any(s in t for s in self.special) for t in texts]
-        pieces = [self.pattern.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        new = set().union(*pieces) - self.known.keys() if pieces else set()
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = set().union(*pieces)
-        self._learn(list(new))
-        get = self.known.__getitem__
+        at = []
+        for t in (t if p else "" for t, p in zip(texts, plain, strict=True)):
+            at.append(self.chunks.numbers(_keys(t.split(" "))))
+            if at[-1].min() < 0:
+                at[-1] = self.chunks.numbers(_keys(self.edge.split(t)))
+        self._learn_chunks()
+        ids, lengths = self.chunks.of(np.concatenate(at)) if at else (np.empty(0, "<u4"), np.empty(0, np.int64))
+        ends = np.r_[0, np.cumsum(lengths)][np.cumsum([0, *map(len, at)])].tolist()
         return [
-            b"".join(map(get, ws)) if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-            for t, p, ws in zip(texts, plain, pieces, strict=True)
+            ids[ends[i] : ends[i + 1]].tobytes() if p else np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+            for i, p in enumerate(plain)
         ]
 
 
@@ -185,22 +272,20 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID, seg
         encoder, end = encoder_of(vocabulary), np.array([end_id], "<u4").tobytes()
         number, held, waiting = TaskContext.get().partitionId() << 32, 0, []
         last, occurrence = object(), 0
-        for b in batches:
-            ids, texts = b["doc_id"].to_pylist(), [t or "" for t in b["text"].to_pylist()]
-            for at in range(0, len(texts), 512):
-                for d, payload in zip(ids[at : at + 512], encoder.encode(texts[at : at + 512]), strict=True):
-                    last, occurrence = d, occurrence + 1 if d == last else 0
-                    waiting.append((d, occurrence, payload + end))
-                    held += len(payload) // 4 + 1
-                    if held >= segment_ids:
-                        yield pa.RecordBatch.from_pylist([_segment(number, waiting)], schema)
-                        number, held, waiting = number + 1, 0, []
+        for b in small_batches(batches, most_bytes=4 << 20):
+            for d, payload in zip(b["doc_id"].to_pylist(), encoder.encode([t or "" for t in b["text"].to_pylist()]), strict=True):
+                last, occurrence = d, occurrence + 1 if d == last else 0
+                waiting.append((d, occurrence, payload + end))
+                held += len(payload) // 4 + 1
+                if held >= segment_ids:
+                    yield pa.RecordBatch.from_pylist([_segment(number, waiting)], schema)
+                    number, held, waiting = number + 1, 0, []
         if waiting:
             yield pa.RecordBatch.from_pylist([_segment(number, waiting)], schema)
 
     n = partitions(spark, docs.count(), 4096)
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(run, SEGMENT).write.parquet(path)
+    ordered.mapInArrow(tidied(run), SEGMENT).write.parquet(path)
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:

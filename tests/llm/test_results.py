@@ -83,6 +83,37 @@ def test_token_files(spark, docs, tmp_path):
     assert sorted(ids) == sorted([*lib.encode(t, add_special_tokens=False).ids, 0] for t in ("no id", "nor here"))
 
 
+def test_token_files_encoder_with_odd_texts_and_small_tables():
+    """Texts of odd characters as the library encodes them, with tables that are often full, and each alone."""
+    path = bpe.vocabulary_path(token_files.VOCABULARY)
+    lib = Tokenizer.from_file(path)
+    own, none_kept = token_files.Encoder(path, most=40), token_files.Encoder(path, most_chars=1)
+    signs = ["a", "Be", "é", "\u0301", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "'s", "'T", "'", "1", "²", "🙂", "<|endoftext|>", "<|", "Ċ", "日", "!!", "\u200d", "\ufeff", "\x00"]
+    rng = np.random.default_rng(5)
+    texts = ["", " ", "\n", "  a", "a  ", "a \n b", " a", "a\n b", *("".join(rng.choice(signs, int(n))) for n in rng.integers(0, 30, 1500))]
+    want = [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert own.encode([]) == []
+    for encoder in (own, none_kept, token_files.Encoder(path)):
+        assert [x for at in range(0, len(texts), 50) for x in encoder.encode(texts[at : at + 50])] == want
+        assert [encoder.encode([t])[0] for t in texts[:200]] == want[:200]
+
+
+def test_token_files_encoder_splits_known_words_once():
+    """What stands between blanks is split by the pattern when it is new, not each time it comes."""
+    own = token_files.Encoder(bpe.vocabulary_path(token_files.VOCABULARY))
+    split = []
+
+    class Counted:
+        def findall(self, text, pattern=own.pattern):
+            split.append(len(text))
+            return pattern.findall(text)
+
+    own.pattern = Counted()
+    texts = [" ".join(f"word{i % 300}, and" for i in range(j, j + 2000)) for j in range(20)]
+    own.encode(texts), own.encode(texts)
+    assert sum(split) < sum(map(len, texts)) / 50
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 1000])
 def test_perfect_hash(n):
     keys = token_files.key_hash(np.arange(n, dtype=np.uint64), 77)
