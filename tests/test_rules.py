@@ -58,3 +58,9 @@ def test_quotations_as_their_sql_has_them(spark, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = con.sql(registry.SQL["repair_quotes"]).fetchall()
     assert len(want) == 17 and sorted(tuple(r) for r in registry.QUERIES["repair_quotes"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_all_that_is_kept_is_told(spark):
+    dates = [f"{d:02}/01/2024" for d in range(1, 10)]
+    assert each(spark, [" e ".join([*dates, dates[0]]), "sem data"], lambda t: M.preserved(t, "datas")) == [dates, []]
+    assert "[:6]" not in registry.SQL["preserve_meta"]
