@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lavra.functions import text as T
 from lavra.operators import classify as C
+from lavra.operators import masking as M
 from lavra.operators import records as D
 from lavra.operators import search as S
 from lavra.operators import segment as G
@@ -79,3 +80,35 @@ def test_rules_look_at_first_letters_before_word_edges(spark):
     assert "(?=[" in plan(df.select(C.quick(F.col("low"), r"\bconhecimento\b")))
     texts = spark.createDataFrame([("em conhecimento.",), ("desconhecimento",), ("aije",)], "low string")
     assert [tuple(r) for r in texts.select(C.quick(F.col("low"), r"\bconhecimento\b"), C.quick(F.col("low"), r"\bAIJE\b")).collect()] == [(True, False), (False, False), (False, True)]
+
+
+def test_a_quotation_is_looked_for_once(spark):
+    told = C.evidence(C.classified(spark.createDataFrame([ROW], ACTS)))
+    assert plan(told).count("regexp_instr(blob") <= 5 + len(C.CLASSE) + 1 + len(C.FASE) + len(C.RESULTADO) + 1
+    one = C.evidence(C.classified(spark.createDataFrame([ROW], ACTS), ["grau"]), ["grau"])
+    assert plan(one).count("regexp_instr(blob") == 1
+
+
+def test_plain_parts_change_no_mask_nature_or_voice(spark):
+    texts = ["ID: ABCDE-1 ıd 12345 İD nº 98765", "zona\n\nª 3ª Zona Eleitoral de Belém", "Jurisprudência 01/02/2024", "ELEIÇÕES 2024 exercício 2023 Município de Belém", "İnteressado: x\n\nR$ 1,00",
+             "documento incompleto" + "x" * 50, "x" * 50 + " ...\n", "continua NA página" + "y" * 40, "nota de estudo" + "z" * 40, "Petição vem a requerer", "um requerente pede", "[ trecho" + "w" * 40, "modelo", "fim modelo. EXTRATO de x", "juízo despacho", ""]
+    acts = spark.createDataFrame([(str(i), i, 1, "a.md", [1], "Título", t) for i, t in enumerate(texts)], ACTS)
+
+    def plainly(p):
+        out = p
+        for pattern, by, flags in M.MASKS:
+            out = T.replace(out, pattern, by, flags)
+        return F.when(T.has(p, M.CITATION), p).otherwise(out)
+
+    title, text, all_ = F.col("title"), F.col("text"), F.lit("...modelo mater extrato trecho pet parecer")
+    same = C.classified(acts, ["nature", "voice"]).select(
+        M.mask(text) == F.array_join(F.transform(M.paragraphs(text), plainly), "\n\n"), F.col("nature") == C.nature(title, text, all_), F.col("voice") == C.voice(title, text, all_)
+    )
+    assert {tuple(r) for r in same.collect()} == {(True, True, True)}
+
+
+def test_squeeze_and_around(spark):
+    df = spark.createDataFrame([("a  b c \n d e",), (" \t",), ("x " * 60 + "  alvo  y" + " z" * 60,)], "t string")
+    got = df.select(T.squeeze(F.col("t")).alias("s"), T.around(F.col("t"), r"\balvo\b").alias("a")).collect()
+    assert [r.s for r in got[:2]] == ["a b c d e", ""] and [r.a for r in got[:2]] == ["", ""]
+    assert got[2].a == ("x " * 19 + "alvo y" + " z" * 38).strip()
