@@ -96,3 +96,14 @@ def test_texts_of_a_batch_are_folded_once(spark):
     added = I.add(acts, I.ranks(acts))
     assert not any("regexp_replace" in x._jdf.queryExecution().optimizedPlan().toString() for x in added.values())
     assert [tuple(r) for r in I.links(added["members"], added["pairs"]).orderBy("doc_id").collect()] == [(1, 1, None, []), (2, 1, None, ["1-1"])]
+
+
+def test_counts_of_links_without_their_pairs(spark):
+    texts = [f"{COMMON} unico{i % 3}" + " " * (i % 2) + (" outra" if i % 5 == 0 else "") for i in range(40)] + ["", "", None]
+    rows = [(i if i else None, 1, f"{i}-1", "ab"[i % 4 == 1], "t", t) for i, t in enumerate(texts)]
+    acts = spark.createDataFrame(rows, "doc_id long, ord int, act_id string, classe string, tipo string, text string")
+    added = I.add(acts, I.ranks(acts))
+    lists, counts = I.links(added["members"], added["pairs"]), I.link_counts(added["members"], added["pairs"])
+    want = {(r.doc_id, r.duplicate_of, len(r.variants)) for r in lists.collect()}
+    assert {(r.doc_id, r.duplicate_of, r.variants) for r in counts.collect()} == want and sum(x[2] for x in want) > 50
+    assert "collect_list" not in registry.QUERIES["links_in_batches"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
