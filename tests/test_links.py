@@ -107,3 +107,13 @@ def test_counts_of_links_without_their_pairs(spark):
     want = {(r.doc_id, r.duplicate_of, len(r.variants)) for r in lists.collect()}
     assert {(r.doc_id, r.duplicate_of, r.variants) for r in counts.collect()} == want and sum(x[2] for x in want) > 50
     assert "collect_list" not in registry.QUERIES["links_in_batches"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_shared_token_makes_no_candidates(spark, monkeypatch):
+    asked, near = [], K.near
+    monkeypatch.setattr(K, "near", lambda pairs, *rest: asked.append(pairs.count()) or near(pairs, *rest))
+    words_ = [" ".join(f"{x}palavra{k}" for k in range(20)) for x in "ab"]
+    texts = [f"rarissima{i // 2} {words_[i % 2]}" for i in range(20)] + ["sozinha", "sozinha outra", "outra sozinha"]
+    df = spark.createDataFrame([(i, "pt", t) for i, t in enumerate(texts)], "doc_id long, block string, text string")
+    got = {(r.doc_id, r.other) for r in K.similar_pairs(df).collect()}
+    assert got == {(i, j) for i in range(20) for j in range(i) if (i - j) % 2 == 0} | {(22, 21)} and asked == [90]
